@@ -130,6 +130,7 @@ def _scan(maps: np.ndarray) -> np.ndarray:
 def marks(cls: np.ndarray, entry: int = FRESH, width: int = 128) -> tuple[np.ndarray, int]:
     """(marks of every character, exit state) of a text of the given classes."""
     n = len(cls)
+    width = max(1, min(width, n))
     if not n:
         return np.zeros(0, np.uint8), entry
     rows = -(-n // width)
