@@ -26,9 +26,10 @@ from .common import map_text, materialize, replicated, salt, ship, text_bytes
 
 _SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\r\x0b\x0c"
+_CAPITALS = bytes(range(65, 91))
 _CONT = bytes(range(0x80, 0xC0))
 #: The statistics of the vector, each transformed towards symmetry and scaled to integers by FIXED.
-FEATURES = ("log_words", "log_word_len", "symbols", "dup_lines", "repeats", "line_len", "distinct")
+FEATURES = ("log_words", "log_word_len", "symbols", "dup_lines", "repeats", "line_len", "distinct", "capitals")
 D = len(FEATURES)
 FIXED = 1024
 BINS = 256
@@ -50,20 +51,20 @@ def _repeat_words(words: list[bytes]) -> int:
 
 
 def text_stats(text: bytes) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines with a word, distinct words."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines with a word, distinct words, letters A-Z."""
     words = text.split()
     solid = text.translate(None, _WHITE)
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return (
         len(words), len(solid.translate(None, _CONT)), len(text) - len(text.translate(None, _SYMBOLS)),
-        len(lines) - len(set(lines)), _repeat_words(words), len(lines), len(set(words)),
+        len(lines) - len(set(lines)), _repeat_words(words), len(lines), len(set(words)), len(text) - len(text.translate(None, _CAPITALS)),
     )
 
 
-def features(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat: int, n_lines: int, n_distinct: int) -> tuple[int, ...]:
+def features(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat: int, n_lines: int, n_distinct: int, n_capitals: int) -> tuple[int, ...]:
     """The transformed vector, in units of 1/FIXED; logs for sizes, square roots for shares."""
     w = max(n_words, 1)
-    x = (math.log1p(n_words), math.log1p(word_chars / w), math.sqrt(n_symbols / w), math.sqrt(n_dup_lines / max(n_lines, 1)), math.sqrt(n_repeat / w), math.log1p(n_words / max(n_lines, 1)), math.log(n_distinct / w) if n_words else 0.0)
+    x = (math.log1p(n_words), math.log1p(word_chars / w), math.sqrt(n_symbols / w), math.sqrt(n_dup_lines / max(n_lines, 1)), math.sqrt(n_repeat / w), math.log1p(n_words / max(n_lines, 1)), math.log(n_distinct / w) if n_words else 0.0, math.sqrt(n_capitals / max(word_chars, 1)))
     return tuple(round(FIXED * v) for v in x)
 
 
@@ -72,7 +73,7 @@ _NARROW = "doc_id long, lang string, source string, n_words long, word_chars lon
 
 def _measure(piece: pa.RecordBatch) -> pa.RecordBatch:
     rows = [text_stats(t) for t in text_bytes(piece.column("text"))]
-    stats = np.array(rows, np.int64).reshape(-1, 7)
+    stats = np.array(rows, np.int64).reshape(-1, 8)
     x = np.array([features(*r) for r in rows], np.int64).reshape(-1, D)
     cols = [pa.array(np.ascontiguousarray(stats[:, i])) for i in range(5)] + [pa.array(np.ascontiguousarray(x[:, i])) for i in range(D)]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"x{i}" for i in range(D))]
@@ -82,7 +83,7 @@ def _measure(piece: pa.RecordBatch) -> pa.RecordBatch:
 _PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 _PARAMS = "g string, n long, " + ", ".join(f"m{i} double" for i in range(D)) + ", " + ", ".join(f"p{i}_{j} double" for i, j in _PAIRS)
 #: Least spread of a statistic, in its own unit: a statistic that is constant in a group must not reject by rounding.
-FLOOR = np.array([0.25, 0.05, 0.05, 0.05, 0.05, 0.25, 0.05])
+FLOOR = np.array([0.25, 0.05, 0.05, 0.05, 0.05, 0.25, 0.05, 0.05])
 
 
 def _params(g: str, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
@@ -173,7 +174,7 @@ def _consistency(share: float) -> float:
 
 
 def mcd(narrow: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
-    """Parameters per group `g`: n, means m*, and precision p*. narrow: g, x0..x6 as integers."""
+    """Parameters per group `g`: n, means m*, and precision p*. narrow: g, x0..x7 as integers."""
     stacked = narrow.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * STEP / FIXED).cast("long") for i in range(D)])).alias("f", "v"))
     params = materialize(stacked.groupBy("g", "f", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("g").applyInPandas(_starter, _PARAMS))
     sums = [F.sum(F.col(f"x{i}")).alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS]
@@ -192,7 +193,7 @@ def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, tail: float = 1e-9, slack: float = 4.0, min_group: int = 200, steps: int = 3,
+    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, tail: float = 1e-9, slack: float = 5.0, min_group: int = 200, steps: int = 3,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
