@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .line_dedup import line_dedup
+from .mixing import mix
+from .piece_sampling import encode
+from .pii import surrogates
 from .quality_rules import quality_rules
+from .sharding import shard_rows
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
 #: Where the vocabulary files are, on every executor.
 TOKENIZERS = "/opt/tokenizers"
+#: Keys the surrogates; a deployment passes its own secret to surrogates().
+PII_KEY = b"weftfacts surrogate key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +33,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
@@ -41,7 +68,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op5_license_scan": op5_license_scan,
+    "op6_piece_sampling": op6_piece_sampling,
+    "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
