@@ -96,15 +96,21 @@ def _rebuild(min_chars: int, with_text: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, with_text: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, kept_sha256, kept_text (null unless with_text).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_dropped, kept_sha256, kept_text (null unless with_text), columns in carry.
 
     Null and empty texts are one empty line. Rows that repeat a doc_id count as one document and each lose the lines that
     this document loses; rows without a doc_id likewise count as one document, which keeps a key only if no other holds
-    it. Lines below min_chars always stay. An empty table gives no rows; further columns are not read.
+    it. Lines below min_chars always stay. An empty table gives no rows; columns
+    not in `carry` are not read, those in it may have any name but one of the result's.
     """
+    if set(carry) & {"doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"}:
+        raise ValueError("carried columns clash with the result's")
     base = doc_text(docs, id_col, text_col)
     drops = materialize(dropped_keys(base, min_chars, min_docs))
     # The join is on one narrow row a document that loses lines; AQE splits a doc_id that very many rows repeat.
-    joined = base.join(drops, base["doc_id"].eqNullSafe(drops["doc_id"]), "left").select(base["doc_id"], "text", "drops")
-    return joined.mapInArrow(_rebuild(min_chars, with_text), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)])
+    kinds = [(f.name, f.dataType.simpleString()) for f in whole.schema.fields if f.name.startswith("c_")]
+    joined = whole.join(drops, whole["doc_id"].eqNullSafe(drops["doc_id"]), "left").select(whole["doc_id"], *[c for c, _ in kinds], "text", "drops")
+    out = joined.mapInArrow(_rebuild(min_chars, with_text), "doc_id long, " + "".join(f"{c} {t}, " for c, t in kinds) + "n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text", *[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)])

@@ -145,11 +145,23 @@ def mix(docs: DataFrame, budget: float = 0.7, seed: int = 11, powers: dict[str,
     doc_id and seed (rows without a doc_id: of the text), so repeated rows share it and partitioning doesn't matter. Null
     source and lang are values of their own. Cells without tokens are kept whole. An empty table gives no rows.
     """
+    rows = materialize(_measured(docs, seed, id_col, text_col, lang_col, source_col))
+    table, small = probabilities(rows, powers, budget, max_cells)
+    return attach(rows, table, small).select("doc_id", *AXES, "tokens", "probability", (F.col("u") < F.col("probability")).alias("kept"))
+
+
+def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str, lang_col: str, source_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), topic_of(text).alias("topic"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), uniform(F.col(id_col).cast("long"), F.xxhash64(text), seed).alias("u"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), uniform(F.col(id_col).cast("long"), F.xxhash64(text), seed).alias("u"), *more,
     )
-    rows = materialize(rows)
-    table, small = probabilities(rows, powers, budget, max_cells)
-    return attach(rows, table, small).select("doc_id", *AXES, "tokens", "probability", (F.col("u") < F.col("probability")).alias("kept"))
+
+
+def sample(docs: DataFrame, budget: float = 0.7, seed: int = 11, powers: dict[str, float] = POWERS, max_cells: int = MAX_CELLS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that mix() keeps, with all their columns as they are. While the cell table is within its bound, no
+    text is moved."""
+    columns = (id_col, text_col, lang_col, source_col)
+    table, small = probabilities(_measured(docs, seed, *columns), powers, budget, max_cells)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return attach(_measured(docs, seed, *columns, every), table, small).filter(F.col("u") < F.col("probability")).select("_row.*")
