@@ -24,7 +24,7 @@ def docs(spark, tmp_path_factory):
         t = "\n".join(" ".join(rng.choices(words, k=25)) for _ in range(8))
         texts.append(t + (f"\n{shared}" if i % 4 == 0 else ""))
     for i in range(20):
-        texts.append(texts[i] + " tail")  # near copies
+        texts.append("tail " + texts[i])  # near copies
     texts += [None, "", "too short", "same three words " * 60]
     rows = [(i, t, ["en", "de", None][i % 3], "hot" if i % 2 else "cold", len(t or "")) for i, t in enumerate(texts)] + [(3, texts[3], "en", "hot", 5)]
     path = str(tmp_path_factory.mktemp("sf") / "documents.parquet")
