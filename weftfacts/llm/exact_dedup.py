@@ -4,8 +4,9 @@ A text's fingerprint is its bytes read as a polynomial in 256 modulo a 126-bit p
 chunks combine by arithmetic alone, H(a+b) = H(a) * 256^len(b) + H(b), so a huge document is hashed as many chunks on
 many tasks. Documents of equal fingerprint are then compared byte by byte, chunk by chunk; a collision splits them.
 
-Cost: one narrow shuffle of all fingerprints; only texts whose fingerprint repeats are moved, once, spread over
-(fingerprint, salt) so that a group holding a third of all rows is compared in SALTS tasks.
+Cost: one narrow shuffle of all fingerprints and one of the texts, spread over (fingerprint, salt) so that a group holding
+a third of all rows is compared in SALTS tasks. The texts are joined by merging at every size, so that cost stays in
+proportion to the input; only those whose fingerprint repeats are compared.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     singles = singles.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
     texts = map_text(base, _with_text, "doc_id long, fp binary, text_sha256 string, norm binary")
-    texts = texts.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(dup_salted, ["fp", "salt"], "left_semi")
+    texts = texts.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(dup_salted.hint("merge"), ["fp", "salt"], "left_semi")
     # The join leaves rows distributed and sorted by (fp, salt) when it sorts; where it broadcasts, this exchange does.
     texts = texts.repartition("fp", "salt").sortWithinPartitions("fp", "salt")
     sliced = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("text_sha256", pa.string()), ("salt", pa.int32()), ("cls", pa.int32()), ("norm", pa.binary())])
