@@ -1,0 +1,80 @@
+"""Markup text to element facts, all JVM-side: one row per opening tag with its attributes and directives."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: An opening tag, its attribute text, the text behind it, and the closing tag if that follows at once.
+TAG = r"""<([A-Za-z][\w.-]*)((?:"[^"]*"|'[^']*'|[^<>"'])*)>([^<]*)(</\1\s*>)?"""
+ATTRIBUTE = r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'))?"""
+
+
+def _directive(name: Column) -> Column:
+    """The directive an attribute name spells, or null for a static attribute."""
+    return (
+        F.when(name.startswith(":") | name.rlike("^v-bind(:|$)"), F.lit("bind"))
+        .when(name.startswith("@") | name.rlike("^v-on(:|$)"), F.lit("on"))
+        .when(name.startswith("#"), F.lit("slot"))
+        .when(name.startswith("v-"), F.regexp_extract(name, r"^v-([\w-]+)", 1))
+    )
+
+
+def elements(files: DataFrame, id_col: str = "file_id", source_col: str = "source") -> DataFrame:
+    """(file_id, el_ix, tag, attributes, directives, empty, text) for every opening tag, in source order.
+
+    attributes: array of (ix, name, value); directives: array of (ix, name, raw_name, argument, expression, modifiers).
+    A null source has no elements. The file's other columns are not kept.
+    """
+    src = F.col(source_col)
+    cut = files.select(
+        F.col(id_col).alias("file_id"),
+        F.posexplode(F.arrays_zip(F.regexp_extract_all(src, F.lit(TAG), F.lit(1)).alias("tag"), F.regexp_extract_all(src, F.lit(TAG), F.lit(2)).alias("attrs"), F.regexp_extract_all(src, F.lit(TAG), F.lit(3)).alias("text"), F.regexp_extract_all(src, F.lit(TAG), F.lit(4)).alias("closed"))).alias("el_ix", "t"),
+    )
+    names = F.regexp_extract_all("t.attrs", F.lit(ATTRIBUTE), F.lit(1))
+    values = F.regexp_extract_all("t.attrs", F.lit(ATTRIBUTE), F.lit(2))
+    zipped = F.transform(F.arrays_zip(names.alias("name"), values.alias("value")), lambda a, i: F.struct(i.alias("ix"), a["name"].alias("name"), F.when(a["value"] != "", F.substring(a["value"], F.lit(2), F.length(a["value"]) - 2)).alias("value")))
+    cut = cut.withColumn("all", zipped)
+
+    def directive(a: Column) -> Column:
+        body = F.regexp_replace(a["name"], r"^(v-bind:|v-on:|v-[\w-]+:|[:@#])", "")
+        has_argument = a["name"].rlike(r"^([:@#]|v-[\w-]+:)")
+        parts = F.split(body, r"\.")
+        return F.struct(
+            a["ix"].alias("ix"), _directive(a["name"]).alias("name"), a["name"].alias("raw_name"), F.when(has_argument & (F.element_at(parts, 1) != ""), F.element_at(parts, 1)).alias("argument"),
+            a["value"].alias("expression"), F.slice(parts, 2, 100).alias("modifiers"),
+        )
+
+    out = cut.select(
+        "file_id", "el_ix", F.col("t.tag").alias("tag"), F.filter("all", lambda a: _directive(a["name"]).isNull()).alias("attributes"),
+        F.transform(F.filter("all", lambda a: _directive(a["name"]).isNotNull()), directive).alias("directives"),
+        ((F.trim("t.text") == "") & (F.col("t.closed") != "")).alias("empty"), F.col("t.text").alias("text"),
+    )
+    # Name lists beside the structs: rules look names up in generated code and run no lambda for it.
+    return out.withColumns({
+        "attribute_names": F.transform("attributes", lambda a: F.lower(a["name"])), "directive_names": F.transform("directives", lambda d: d["name"]),
+        "bound_names": F.filter(F.transform("directives", lambda d: F.when(d["name"] == "bind", d["argument"])), lambda x: x.isNotNull()),
+    })
+
+
+def _first(items: str, names: str, name: str) -> Column:
+    return F.get(items, (F.array_position(names, F.lit(name)) - 1).cast("int"))
+
+
+def attribute(name: str) -> Column:
+    """The static attribute's struct, ASCII case-insensitive, first match; null if absent."""
+    return _first("attributes", "attribute_names", name)
+
+
+def has(name: str) -> Column:
+    """A static attribute or a bound argument of this name."""
+    return F.array_contains("attribute_names", name) | F.array_contains("bound_names", name)
+
+
+def directive(name: str) -> Column:
+    """The first directive of this name, case-sensitive; null if absent."""
+    return _first("directives", "directive_names", name)
+
+
+def listens(*events: str) -> Column:
+    return F.exists("directives", lambda d: (d["name"] == "on") & d["argument"].isin(*events))
