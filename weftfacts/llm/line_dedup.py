@@ -111,6 +111,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The join is on one narrow row a document that loses lines; AQE splits a doc_id that very many rows repeat.
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)])
     kinds = [(f.name, f.dataType.simpleString()) for f in whole.schema.fields if f.name.startswith("c_")]
-    joined = whole.join(drops, whole["doc_id"].eqNullSafe(drops["doc_id"]), "left").select(whole["doc_id"], *[c for c, _ in kinds], "text", "drops")
+    joined = whole.join(drops.hint("merge"), whole["doc_id"].eqNullSafe(drops["doc_id"]), "left").select(whole["doc_id"], *[c for c, _ in kinds], "text", "drops")
     out = joined.mapInArrow(_rebuild(min_chars, with_text), "doc_id long, " + "".join(f"{c} {t}, " for c, t in kinds) + "n_lines long, n_dropped long, kept_sha256 string, kept_text string")
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text", *[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)])
