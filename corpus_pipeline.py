@@ -40,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a doc_id stay only where their whole group has none."""
     stays = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     stays = materialize(stays)
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
+    kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
     # Only a doc_id that several rows repeat needs a choice among them.
     often = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_often")))
     if often.isEmpty():
