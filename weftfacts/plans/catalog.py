@@ -139,7 +139,9 @@ def repeated_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracking_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_partkey") % 7 == 0, F.lit("pause")).when(F.col("l_partkey") % 7 == 1, F.lit("resume")).otherwise(F.lit("read"))
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("module_id"), F.col("l_linenumber").cast("long").alias("offset"), kind.alias("kind"))
+    # Offsets are unique in a module; a line number that repeats in the table keeps its smallest part.
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    e = rows.select(F.col("l_orderkey").alias("module_id"), F.col("l_linenumber").cast("long").alias("offset"), kind.alias("kind"))
     return script_rules.tracking_state(e)
 
 
@@ -211,7 +213,7 @@ ORACLE: dict[str, str] = {
     "duplicate_macros": f"""WITH {_CALLS}, k AS (SELECT callee, count(*) - 1 AS extra FROM calls WHERE callee IN ('defineProps', 'defineEmits', 'defineExpose', 'defineSlots', 'defineOptions', 'defineModel')
         GROUP BY file_id, callee, CASE WHEN callee = 'defineModel' THEN coalesce(assigned_to, '') END) SELECT 'correctness/no-duplicate-' || {_KEBAB} AS rule_id, sum(extra)::BIGINT AS n FROM k GROUP BY callee HAVING sum(extra) > 0""",
     "repeated_writes": "SELECT l_orderkey AS module_id, l_suppkey % 5 AS binding, l_returnflag AS property, count(*) AS n_writes, min(l_linenumber)::BIGINT AS first_offset FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) >= 2",
-    "tracking_state": """WITH e AS (SELECT l_orderkey AS module_id, l_linenumber::BIGINT AS off, CASE l_partkey % 7 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' ELSE 'read' END AS kind FROM lineitem)
+    "tracking_state": """WITH e AS (SELECT l_orderkey AS module_id, l_linenumber::BIGINT AS off, CASE min(l_partkey) % 7 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' ELSE 'read' END AS kind FROM lineitem GROUP BY 1, 2)
         , s AS (SELECT *, last_value(CASE WHEN kind <> 'read' THEN kind = 'resume' END IGNORE NULLS) OVER (PARTITION BY module_id ORDER BY off) AS state FROM e)
         SELECT module_id, off AS "offset", coalesce(state, true) AS tracked FROM s WHERE kind = 'read'""",
     "suppressed": f"""WITH {_FOUND} SELECT rule_id, line, count(*) AS n FROM found JOIN orders ON file_id = o_orderkey
