@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from ..sources.markup import attribute, directive, has, listens
 
-TAG = F.lower(F.col("tag"))
 LINKS = ("a", "RouterLink", "router-link", "NuxtLink", "nuxt-link")
 
 
+def _tag() -> Column:
+    return F.lower(F.col("tag"))
+
+
 def _named() -> Column:
     return has("aria-label") | has("aria-labelledby")
 
@@ -33,7 +36,7 @@ def _content_directive(name: str) -> Column:
 def _focusable() -> Column:
     tab = F.trim(attribute("tabindex")["value"]).try_cast("int")
     typed = F.lower(F.coalesce(attribute("type")["value"], F.lit("")))
-    return (((TAG == "a") & has("href")) | TAG.isin("button", "select", "textarea") | ((TAG == "input") & (typed != "hidden")) | (tab >= 0)) & ~has("disabled")
+    return (((_tag() == "a") & has("href")) | _tag().isin("button", "select", "textarea") | ((_tag() == "input") & (typed != "hidden")) | (tab >= 0)) & ~has("disabled")
 
 
 _ROLES = {"button": "button", "img": "img", "li": "listitem", "main": "main", "nav": "navigation", "ol": "list", "ul": "list", "table": "table", "textarea": "textbox"}
@@ -41,9 +44,9 @@ _KNOWN_ROLES = "alert alertdialog application article banner blockquote button c
 
 
 def _redundant_role() -> Column:
-    native = F.when((TAG == "a") & has("href"), F.lit("link"))
+    native = F.when((_tag() == "a") & has("href"), F.lit("link"))
     for tag, role in _ROLES.items():
-        native = native.when(TAG == tag, F.lit(role))
+        native = native.when(_tag() == tag, F.lit(role))
     return F.lower(F.trim(attribute("role")["value"])) == native
 
 
@@ -56,14 +59,14 @@ def rules() -> dict[str, tuple[str, Column]]:
     empty = F.col("empty")
     out: dict[str, tuple[str, Column]] = {
         "accessibility/anchor-has-content": ("warning", F.col("tag").isin(*LINKS) & empty & ~_named()),
-        "accessibility/button-has-content": ("warning", (TAG == "button") & empty & ~_named()),
-        "accessibility/heading-has-content": ("warning", TAG.rlike("^h[1-6]$") & empty & ~_named()),
-        "accessibility/click-events-have-key-events": ("warning", TAG.isin("div", "span", "p", "section", "article", "li") & listens("click") & ~listens("keydown", "keyup", "keypress")),
-        "accessibility/iframe-has-title": ("warning", (TAG == "iframe") & ~has("title")),
-        "accessibility/img-has-alt": ("warning", (TAG == "img") & ~has("alt")),
+        "accessibility/button-has-content": ("warning", (_tag() == "button") & empty & ~_named()),
+        "accessibility/heading-has-content": ("warning", _tag().rlike("^h[1-6]$") & empty & ~_named()),
+        "accessibility/click-events-have-key-events": ("warning", _tag().isin("div", "span", "p", "section", "article", "li") & listens("click") & ~listens("keydown", "keyup", "keypress")),
+        "accessibility/iframe-has-title": ("warning", (_tag() == "iframe") & ~has("title")),
+        "accessibility/img-has-alt": ("warning", (_tag() == "img") & ~has("alt")),
         "accessibility/no-aria-hidden-on-focusable": ("error", _focusable() & ((F.lower(attribute("aria-hidden")["value"]) == "true") | F.exists("directives", lambda d: (d["name"] == "bind") & (d["argument"] == "aria-hidden") & (d["expression"] == "true")))),
         "accessibility/no-autofocus": ("warning", attribute("autofocus").isNotNull()),
-        "accessibility/no-distracting-elements": ("warning", TAG.isin("blink", "marquee")),
+        "accessibility/no-distracting-elements": ("warning", _tag().isin("blink", "marquee")),
         "accessibility/no-positive-tabindex": ("warning", tab > 0),
         "accessibility/valid-aria-role": ("warning", attribute("role")["value"].isNotNull() & ~F.arrays_overlap(F.split(F.lower(F.trim(attribute("role")["value"])), r"\s+"), F.array(*map(F.lit, _KNOWN_ROLES)))),
         "maintainability/no-redundant-role": ("warning", _redundant_role()),
@@ -74,16 +77,16 @@ def rules() -> dict[str, tuple[str, Column]]:
         "correctness/valid-v-html": ("error", _content_directive("html")),
         "correctness/valid-v-text": ("error", _content_directive("text")),
         "correctness/no-child-content": ("warning", ~empty & (html.isNotNull() | text.isNotNull())),
-        "correctness/no-textarea-mustache": ("error", (TAG == "textarea") & directive("model").isNull() & ~empty),
-        "correctness/no-template-key": ("warning", (TAG == "template") & loop.isNull() & has("key")),
+        "correctness/no-textarea-mustache": ("error", (_tag() == "textarea") & directive("model").isNull() & ~empty),
+        "correctness/no-template-key": ("warning", (_tag() == "template") & loop.isNull() & has("key")),
         "correctness/no-duplicate-attributes": ("error", repeated | (F.size(bound) > F.size(F.array_distinct(bound)))),
         "correctness/no-deprecated-v-bind-sync": ("error", F.exists("directives", lambda d: F.array_contains(d["modifiers"], "sync"))),
         "correctness/no-deprecated-slot-attribute": ("warning", attribute("slot").isNotNull()),
-        "correctness/no-deprecated-slot-scope": ("error", attribute("slot-scope").isNotNull() | ((TAG == "template") & attribute("scope").isNotNull())),
+        "correctness/no-deprecated-slot-scope": ("error", attribute("slot-scope").isNotNull() | ((_tag() == "template") & attribute("scope").isNotNull())),
         "correctness/no-deprecated-v-on-native-modifier": ("error", F.exists("directives", lambda d: (d["name"] == "on") & F.array_contains(d["modifiers"], "native"))),
         "correctness/no-v-text-v-html-on-component": ("warning", component & (html.isNotNull() | text.isNotNull())),
         "correctness/no-v-if-with-v-for": ("warning", loop.isNotNull() & directive("if").isNotNull()),
-        "correctness/require-component-is": ("error", (TAG == "component") & ~has("is")),
+        "correctness/require-component-is": ("error", (_tag() == "component") & ~has("is")),
         "correctness/require-v-for-key": ("error", loop.isNotNull() & ~has("key")),
         "security/no-v-html": ("warning", html.isNotNull()),
     }
@@ -107,13 +110,13 @@ def lint_neighbours(elements: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("el_ix")
     other = F.trim(directive("else-if")["expression"])
     toggled = directive("if").isNotNull() | directive("show").isNotNull() | has("is")
-    near = elements.withColumns({"_else": other, "_before": F.lag(other).over(w), "_next": F.lead(F.coalesce(toggled, F.lit(False))).over(w), "_for": F.collect_set(F.when(TAG == "label", attribute("for")["value"])).over(Window.partitionBy("file_id"))})
+    near = elements.withColumns({"_else": other, "_before": F.lag(other).over(w), "_next": F.lead(F.coalesce(toggled, F.lit(False))).over(w), "_for": F.collect_set(F.when(_tag() == "label", attribute("for")["value"])).over(Window.partitionBy("file_id"))})
     typed = F.lower(F.coalesce(attribute("type")["value"], F.lit("text")))
-    control = TAG.isin("textarea", "select", "meter", "output", "progress") | ((TAG == "input") & ~typed.isin("hidden", "button", "submit", "reset", "image"))
+    control = _tag().isin("textarea", "select", "meter", "output", "progress") | ((_tag() == "input") & ~typed.isin("hidden", "button", "submit", "reset", "image"))
     labelled = F.array_contains("_for", F.coalesce(attribute("id")["value"], F.lit("")))
     checks = [
         ("correctness/no-dupe-v-else-if", (F.col("_else") != "") & (F.col("_else") == F.col("_before"))),
-        ("correctness/require-toggle-inside-transition", (TAG == "transition") & ~F.col("empty") & (F.col("_next") == F.lit(False))),
+        ("correctness/require-toggle-inside-transition", (_tag() == "transition") & ~F.col("empty") & (F.col("_next") == F.lit(False))),
         ("accessibility/form-control-has-label", control & ~_named() & ~labelled),
     ]
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule_id"), F.lit(NEIGHBOUR_RULES[r]).alias("severity"))) for r, c in checks]), lambda x: x.isNotNull())
