@@ -297,7 +297,7 @@ def encode(docs: DataFrame, path: str, seed: int = 42, theta: float = 1.0, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path, theta)
         for batch in batches:
-            for piece in slices(batch, "text", 3 << 20):
+            for piece in slices(batch, "text", 3 << 19):
                 texts = piece.column("text").to_pylist()
                 ids, counts = m.encode(texts, piece.column("key").to_numpy().view(np.uint64))
                 ends = np.cumsum(counts)
