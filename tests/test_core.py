@@ -4,7 +4,7 @@ import pytest
 
 from weftfacts.operators import graph, policy, script_rules
 from weftfacts.operators.template_rules import lint_elements, lint_neighbours
-from weftfacts.plans.catalog import CASES
+from weftfacts.plans.catalog import CASES, tracking_state
 from weftfacts.sources.markup import elements
 
 
@@ -37,6 +37,25 @@ def test_tracking_state(spark):
     assert sorted((r["offset"], r["tracked"]) for r in got) == [(1, True), (3, False), (5, True)]
 
 
+def test_tracking_state_on_one_offset(spark):
+    rows = [("m", 1, "read"), ("m", 1, "resume"), ("m", 1, "pause"), ("m", 1, "read"), ("n", 1, "read"), ("n", 1, "pause"), ("n", 2, "resume"), ("n", 2, "read"), ("n", 2, "pause")]
+    for order in (rows, rows[::-1]):
+        got = script_rules.tracking_state(spark.createDataFrame(order, "module_id string, offset long, kind string").coalesce(1)).collect()
+        assert sorted(tuple(r) for r in got) == [("m", 1, True), ("m", 1, True), ("n", 1, False), ("n", 2, True)]
+
+
+def test_tracking_state_takes_every_row(spark, tmp_path):
+    lines = [(k % 7, k % 4, k * 5 % 23) for k in range(200)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, state = [], {}
+    for m, at, part in sorted(lines, key=lambda x: (x[0], x[1], {0: 0, 1: 1}.get(x[2] % 7, 2))):
+        if part % 7 < 2:
+            state[m] = part % 7 == 1
+        else:
+            want.append((m, at, state.get(m, True)))
+    assert sorted(tuple(r) for r in tracking_state(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_reverse_closure_with_a_cycle(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (9, 8)], "src long, dst long")
     got = graph.reverse_closure(e, spark.createDataFrame([(3,)], "id long")).collect()

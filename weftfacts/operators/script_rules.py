@@ -42,7 +42,9 @@ def repeated_writes(writes: DataFrame) -> DataFrame:
 
 
 def tracking_state(events: DataFrame) -> DataFrame:
-    """(module_id, offset, tracked): for each read, the state the last pause or resume before it left; tracked at first."""
-    w = Window.partitionBy("module_id").orderBy("offset", F.when(F.col("kind") == "read", 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
+    """(module_id, offset, tracked): for each read, the state the last pause or resume before it left; tracked at first.
+    Of events on one offset, pauses come first, then resumes, then reads."""
+    rank = F.when(F.col("kind") == "pause", 0).when(F.col("kind") == "resume", 1).otherwise(2)
+    w = Window.partitionBy("module_id").orderBy("offset", rank).rowsBetween(Window.unboundedPreceding, 0)
     state = F.last(F.when(F.col("kind") == "pause", F.lit(False)).when(F.col("kind") == "resume", F.lit(True)), ignorenulls=True).over(w)
     return events.withColumn("tracked", F.coalesce(state, F.lit(True))).filter("kind = 'read'").select("module_id", "offset", "tracked")
