@@ -52,6 +52,24 @@ def test_outliers_are_rejected_and_clean_rows_stay(spark):
     assert quality_rules(df.limit(0)).collect() == []
 
 
+KINDS = {
+    "capitals": str.upper, "symbols": lambda t: " ".join(w + "#" for w in t.split()), "lines": lambda t: "\n".join(t.split()),
+    "repeats": lambda t: " ".join(t.split()[:60]) + " one same line" * 12, "glued": lambda t: " ".join("".join(t.split()[i : i + 4]) for i in range(0, 300, 4)),
+}
+
+
+def test_outliers_of_several_kinds(spark):
+    rng = random.Random(3)
+    words = ["w" + "".join(rng.choices("aeiou", k=rng.randint(2, 8))) for _ in range(900)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(200, 400)))) for i in range(600)]
+    for i, kind in enumerate(list(KINDS) * 12):
+        rows.append((1000 + i, KINDS[kind](" ".join(rng.choices(words, k=300)))))
+    df = spark.createDataFrame([(i, t, "en", "hot") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(df).collect()}
+    assert {kind: sum(got[1000 + i] for i in range(k, 60, len(KINDS))) for k, kind in enumerate(KINDS)} == dict.fromkeys(KINDS, 0)
+    assert all(got[i] for i in range(600))
+
+
 def test_estimate_resists_contamination(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, D)) * 0.5 + 3

@@ -3,7 +3,9 @@
 Every text becomes a vector of transformed statistics in fixed point. Per (language, source) the minimum covariance
 determinant is approached by concentration steps from a coordinate-wise median and MAD start: distances are binned, the
 bins that hold the closest `support` share of the rows form the subset, and its exact integer moments give the next mean
-and scatter. Rows beyond the cutoff Mahalanobis distance are rejected.
+and scatter. Rows beyond the cutoff Mahalanobis distance are rejected. The cutoff comes from the group's own distances: a
+scaled chi-square law that has their lower quartile and median, cut at its quantile 1 - tail. Outliers, up to the quarter that
+the estimate bears, hardly move the two; the law's degrees of freedom follow, since FLOOR leaves less than D to vary.
 
 Cost: one pass over the texts writes a narrow table; every step is one aggregation of it with map-side combining into at
 most BINS rows a group, so a group with a third of all rows is never gathered. Moments are sums of integers, hence equal
@@ -185,6 +187,38 @@ def mcd(narrow: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
     return params
 
 
+def _law(tail: float) -> np.ndarray:
+    """Rows of (lower quartile over median, 1 / median, quantile 1 - tail) of chi-square laws of 1 to D degrees of freedom."""
+    rows = []
+    for k in np.arange(1, D + 0.25, 0.25):
+        mid = chi2_quantile(0.5, k)
+        rows.append((chi2_quantile(0.25, k) / mid, 1 / mid, chi2_quantile(1 - tail, k)))
+    return np.array(rows).T
+
+
+def _cut(tail: float):
+    """The cutoff of one group from the bins of its distances."""
+    ratio, unit, far = _law(tail)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        bins, upto = pdf["bin"].to_numpy(), np.cumsum(pdf["n"].to_numpy())
+        low, mid = (2 ** ((bins[np.searchsorted(upto, q * upto[-1])] + 0.5 - 64) / 16) for q in (0.25, 0.5))
+        at = np.interp(low / mid, ratio, np.arange(len(ratio)))
+        k = np.arange(len(ratio))
+        # FLOOR is given and not estimated: within its spread a row is never far, however close its group lies.
+        return pd.DataFrame([(str(pdf["g"].iloc[0]), max(far[0], mid * np.interp(at, k, unit) * np.interp(at, k, far)))], columns=["g", "cutoff"])
+
+    return run
+
+
+def with_cutoff(narrow: DataFrame, params: DataFrame, tail: float) -> DataFrame:
+    """The parameters with the cutoff of the squared distance of each group."""
+    placed = with_params(narrow, params).select("g", _bin(_distance([F.col(f"x{i}") for i in range(D)])).alias("bin"))
+    cut = placed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("g").applyInPandas(_cut(tail), "g string, cutoff double")
+    return materialize(params.join(cut, "g"))
+
+
 def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Each row with its group's parameters; both sides salted, so that no group is one task. Spark broadcasts the
     parameters by itself when their written size is under its threshold."""
@@ -193,13 +227,13 @@ def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, tail: float = 1e-9, slack: float = 5.0, min_group: int = 200, steps: int = 3,
+    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, tail: float = 1e-9, min_group: int = 200, steps: int = 3,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     base_failed: under min_words words, or over max_repeat_percent of the words in repeated 3-word windows. Rows that
-    pass are measured against their (lang, source) group's estimate and kept unless the squared distance exceeds `slack`
-    times the chi-square quantile at 1 - tail. Groups of under min_group passing rows are pooled by language, and
+    pass are measured against their (lang, source) group's estimate and kept unless the squared distance exceeds the
+    group's cutoff, the quantile 1 - tail of the law of its distances. Groups of under min_group passing rows are pooled by language, and
     languages of under min_group by all rows; a pool below that, or without an estimate, rejects nothing. Null lang and
     source are groups of their own. distance is null for rows that failed or weren't measured. Null and empty texts have
     no words and fail. Repeated rows each count. An empty table gives no rows; further columns are not read.
@@ -219,10 +253,9 @@ def quality_rules(
     level = replicated(materialize(level))
     grouped = passing.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(level, ["g2", "salt"]).drop("salt", "g1", "g2")
     grouped = materialize(grouped)
-    params = mcd(grouped, support, steps)
-    cutoff = slack * chi2_quantile(1 - tail, D)
+    params = with_cutoff(grouped, mcd(grouped, support, steps), tail)
     measured = with_params(grouped, params).withColumn("distance", _distance([F.col(f"x{i}") for i in range(D)]))
     stats = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    measured = measured.select(*stats, F.round("distance", 6).alias("distance"), ((F.col("n") < min_group) | (F.col("distance") <= cutoff)).alias("kept"))
+    measured = measured.select(*stats, F.round("distance", 6).alias("distance"), ((F.col("n") < min_group) | (F.col("distance") <= F.col("cutoff"))).alias("kept"))
     rest = narrow.filter("base_failed").select(*stats, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return measured.unionByName(rest)
