@@ -70,6 +70,17 @@ def test_outliers_of_several_kinds(spark):
     assert all(got[i] for i in range(600))
 
 
+def test_small_groups_are_measured_by_all_rows_of_their_pool(spark):
+    rng, junk = random.Random(4), {7, 21, 35}
+    rows = [(1000 + i, t, "en", "hot") for i, t, *_ in make(rng, 300, set())]
+    rows += [(i, t, "en", "rare") for i, t, *_ in make(rng, 30, junk)]
+    rows += [(100 + i, t, None, "rare") for i, t, *_ in make(rng, 40, junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules(df).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"] for r in got if not r["kept"]} == {7, 21, 107, 121, 135}
+
+
 def test_estimate_resists_contamination(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, D)) * 0.5 + 3

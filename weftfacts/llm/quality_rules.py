@@ -233,8 +233,9 @@ def quality_rules(
 
     base_failed: under min_words words, or over max_repeat_percent of the words in repeated 3-word windows. Rows that
     pass are measured against their (lang, source) group's estimate and kept unless the squared distance exceeds the
-    group's cutoff, the quantile 1 - tail of the law of its distances. Groups of under min_group passing rows are pooled by language, and
-    languages of under min_group by all rows; a pool below that, or without an estimate, rejects nothing. Null lang and
+    group's cutoff, the quantile 1 - tail of the law of its distances. Groups of under min_group passing rows are measured against
+    the estimate of all passing rows of their language, and where those are under min_group of the whole table; a table below
+    that rejects nothing. Null lang and
     source are groups of their own. distance is null for rows that failed or weren't measured. Null and empty texts have
     no words and fail. Repeated rows each count. An empty table gives no rows; further columns are not read.
     """
@@ -249,11 +250,18 @@ def quality_rules(
     passing = keyed.filter(~F.col("base_failed"))
     sizes = materialize(passing.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n2")))
     n1 = sizes.groupBy("g1").agg(F.sum("n2").alias("n1"))
-    level = sizes.join(n1, "g1").select("g2", F.when(F.col("n2") >= min_group, F.col("g2")).when(F.col("n1") >= min_group, F.col("g1")).otherwise(F.lit("*")).alias("g"))
-    level = replicated(materialize(level))
-    grouped = passing.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(level, ["g2", "salt"]).drop("salt", "g1", "g2")
+    level = sizes.join(n1, "g1").select("g1", "g2", F.when(F.col("n2") >= min_group, F.col("g2")).when(F.col("n1") >= min_group, F.col("g1")).otherwise(F.lit("*")).alias("g"))
+    level = materialize(level)
+    # A pool that some group looks up is estimated from all passing rows of its language, or of the table; every row is
+    # one of each pool it belongs to, and is measured by the one its group looks up.
+    pooled = level.filter("g = g1").select("g1", F.col("g1").alias("_lang")).distinct()
+    whole = F.lit("*") if not level.filter("g = '*'").isEmpty() else F.lit(None).cast("string")
+    member = level.join(pooled, "g1", "left").select("g2", "g", F.array_compact(F.array_distinct(F.array(F.col("g"), F.col("_lang"), whole))).alias("pools"))
+    member = replicated(materialize(member))
+    grouped = passing.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(member, ["g2", "salt"]).drop("salt", "g1", "g2")
     grouped = materialize(grouped)
-    params = with_cutoff(grouped, mcd(grouped, support, steps), tail)
+    every = grouped.select(F.explode("pools").alias("g"), "doc_id", *[f"x{i}" for i in range(D)])
+    params = with_cutoff(every, mcd(every, support, steps), tail)
     measured = with_params(grouped, params).withColumn("distance", _distance([F.col(f"x{i}") for i in range(D)]))
     stats = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     measured = measured.select(*stats, F.round("distance", 6).alias("distance"), ((F.col("n") < min_group) | (F.col("distance") <= F.col("cutoff"))).alias("kept"))
