@@ -22,11 +22,16 @@ from weftfacts.session import materialize
 BUDGET = 0.8
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, written, so that every reader sees the same numbers."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that a base rule or their Mahalanobis distance rejects. A doc_id that rows repeat goes when any
-    of its rows is rejected; likewise all rows without a doc_id."""
-    gone = materialize(quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """Without the rows that a base rule or their Mahalanobis distance rejects, each by its own verdict."""
+    rows = _numbered(docs)
+    gone = materialize(quality_rules(rows, id_col="_row").filter(~F.col("kept")).select(F.col("doc_id").alias("_row")))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +41,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, and of its repeated rows one. Rows
-    without a doc_id stay only where their whole group has none."""
-    stays = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    stays = materialize(stays)
-    kept = docs.join(stays.hint("merge"), docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
-    # Only a doc_id that several rows repeat needs a choice among them.
-    often = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_often")))
-    if often.isEmpty():
-        return kept
-    once = kept.join(often, kept["doc_id"] == often["_often"], "left_anti")
-    again = kept.join(often, kept["doc_id"] == often["_often"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """One row of each group of near duplicates: one with the smallest doc_id, or where the whole group has none, any one."""
+    rows = _numbered(docs)
+    group = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    # Rows without a doc_id come last; the smallest of a struct takes its fields in turn.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    first = rows.select("_row", "doc_id").join(group, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    stays = materialize(first.select(F.col("first.row").alias("_row")))
+    return rows.join(stays.hint("merge"), "_row", "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,23 @@ def test_stages(spark, docs):
     assert texts == {r["doc_id"]: r["text"] for r in seen[3][2].collect()}
 
 
+def test_verdicts_are_of_rows_and_not_of_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgo", k=rng.randint(2, 8))) for _ in range(120)) for _ in range(7)]
+    clean = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3])]
+    rows = clean + [(None, "short"), (1, "short"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars").repartition(2)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = corpus_pipeline.quality(spark, df, "")
+    assert got.columns == COLUMNS and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(clean, key=key)
+    # Groups: an id beside none, only rows without an id, and one id on two texts.
+    rows = [(7, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (None, texts[4]), (9, texts[5]), (8, texts[5]), (8, texts[5])]
+    want = [(7, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (None, texts[4]), (8, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars").repartition(2)
+    got = corpus_pipeline.near(spark, df, "")
+    assert got.columns == COLUMNS and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
