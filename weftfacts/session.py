@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _local_dirs: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def build_session(cpus: int = 8, app: str = "weftfacts") -> SparkSession:
@@ -64,12 +65,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _app_dir(spark: SparkSession) -> str:
+    """This application's own folder below shared_dir; the file system deletes it when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/weftfacts-{spark.sparkContext.applicationId}"
+    if path not in _swept:
+        _swept.add(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+    return path
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no plan reads any more: the superseded rounds of a loop."""
+    for df in tables:
+        path = getattr(df, "_weft_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
