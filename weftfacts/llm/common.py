@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship  # noqa: F401
+from ..session import materialize, release, ship  # noqa: F401
 
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -70,3 +70,45 @@ def replicated(df: DataFrame, n: int = SALTS) -> DataFrame:
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
+
+
+def _bits(h: Column) -> Column:
+    """Three bits of a 64-bit word, chosen by the upper half of a hash."""
+    one = F.lit(1).cast("long")
+    parts = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63)).cast("int")) for s in (58, 52, 46)]
+    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2])
+
+
+def bloom(keys: DataFrame, key: Column, max_words: int = 1 << 21) -> Callable[[Column], Column]:
+    """A test that is true of every key in the table and false of nearly every other, evaluated in the JVM.
+
+    It is one array of 64-bit words, 16 bits a key and max_words words (16 MB) at most, held as a scalar subquery. Beyond
+    max_words * 16 keys it would tell little and the test is true of all. What passes is still to be joined exactly: the
+    test only keeps rows that cannot match out of an exchange.
+    """
+    n = keys.count()
+    if not n:
+        return lambda c: F.lit(False)
+    if n > max_words * 16:
+        return lambda c: F.lit(True)
+    words = min(max_words, 1 << max(4, (n // 4).bit_length()))
+    h = F.xxhash64(key)
+    rows = keys.select(F.pmod(h, F.lit(words)).cast("int").alias("w"), _bits(h).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(words, np.int64)
+    table[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    spark = keys.sparkSession
+    held = materialize(spark.createDataFrame(pa.table({"words": pa.array([table], pa.list_(pa.int64()))})))
+
+    def test(c: Column) -> Column:
+        h = F.xxhash64(c)
+        mask = _bits(h)
+        return F.get(held.scalar(), F.pmod(h, F.lit(words)).cast("int")).bitwiseAND(mask) == mask
+
+    return test
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in `gone`. Only rows that may be in it are moved; the others stay where they were read."""
+    maybe = bloom(gone, F.col(key))
+    test = maybe(F.col(key))
+    return rows.filter(~test).unionByName(rows.filter(test).join(gone.select(key), key, "left_anti").select(*rows.columns))

@@ -4,9 +4,9 @@ A text's fingerprint is its bytes read as a polynomial in 256 modulo a 126-bit p
 chunks combine by arithmetic alone, H(a+b) = H(a) * 256^len(b) + H(b), so a huge document is hashed as many chunks on
 many tasks. Documents of equal fingerprint are then compared byte by byte, chunk by chunk; a collision splits them.
 
-Cost: one narrow shuffle of all fingerprints and one of the texts, spread over (fingerprint, salt) so that a group holding
-a third of all rows is compared in SALTS tasks. The texts are joined by merging at every size, so that cost stays in
-proportion to the input; only those whose fingerprint repeats are compared.
+Cost: one narrow shuffle of all fingerprints. Texts move only where their fingerprint repeats: a Bloom filter of bounded size
+holds the others back, and what moves are chunks of CHUNK bytes, keyed by fingerprint and position, so that no task holds a
+whole huge document. Fingerprints of over `hot` rows are spread over HOT_SALTS tasks, whose representatives are compared.
 """
 
 from __future__ import annotations
@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SALTS, doc_text, map_text, materialize, replicated, salt, text_bytes
+from .common import LOWER, bloom, doc_text, lower_az, map_text, materialize, replicated, salt, text_bytes
 
 #: A prime of 126 bits with no special form, so that powers of 256 have a long period.
 PRIME = 0x2B3F_9D6C_51E8_A74F_93D1_6EB5_0C27_8BA1
 CHUNK = 1 << 16
 #: Documents above this many bytes are cut and hashed over many tasks.
 HUGE = 64 << 20
+#: Rows of one fingerprint above which its comparison is spread, and over how many tasks.
+HOT, HOT_SALTS = 10_000, 512
+NARROW = "doc_id long, fp binary, x long, text_sha256 string"
 
 
 def _is_prime(n: int) -> bool:
@@ -70,45 +73,42 @@ def _pack(h: int, n: int) -> bytes:
     return h.to_bytes(16, "big") + n.to_bytes(6, "big")
 
 
-def _fingerprints(piece: pa.RecordBatch) -> pa.RecordBatch:
+def _marked(piece: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
     texts = [t.translate(LOWER) for t in text_bytes(piece.column("text"))]
-    return pa.RecordBatch.from_arrays(
-        [piece.column("doc_id"), pa.array([_pack(fingerprint(t), len(t)) for t in texts], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
-        ["doc_id", "fp", "text_sha256"],
-    )
+    columns = [piece.column("doc_id"), pa.array([_pack(fingerprint(t), len(t)) for t in texts], pa.binary()), piece.column("x"), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+    names = ["doc_id", "fp", "x", "text_sha256"]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())] if with_text else columns, [*names, "norm"] if with_text else names)
+
+
+def _fingerprints(piece: pa.RecordBatch) -> pa.RecordBatch:
+    return _marked(piece, False)
 
 
 def _with_text(piece: pa.RecordBatch) -> pa.RecordBatch:
-    texts = [t.translate(LOWER) for t in text_bytes(piece.column("text"))]
-    return pa.RecordBatch.from_arrays(
-        [piece.column("doc_id"), pa.array([_pack(fingerprint(t), len(t)) for t in texts], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary())],
-        ["doc_id", "fp", "text_sha256", "norm"],
-    )
+    return _marked(piece, True)
 
 
 def huge_fingerprints(docs: DataFrame, chunk: int = CHUNK * 64) -> DataFrame:
-    """(doc_id, fp, text_sha256) of documents hashed as chunks on many tasks and put together by combine().
+    """(doc_id, fp, x, text_sha256) of documents hashed as chunks on many tasks and put together by combine().
 
     docs: doc_id, text. The chunks of a document are bounded by its length over `chunk`; only their hashes are gathered.
     """
-    from .common import lower_az
-
     cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lower_az(F.col("text")).alias("t")).select(
-        "doc_id", "row", F.sha2("t", 256).alias("text_sha256"), F.col("t").cast("binary").alias("b")
+        "doc_id", "row", F.struct(F.xxhash64("t").alias("x"), F.sha2("t", 256).alias("text_sha256")).alias("own"), F.col("t").cast("binary").alias("b")
     )
     cut = cut.withColumn("pos", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("b"), F.lit(1)) - 1) / chunk).cast("int"))))
-    cut = cut.select("doc_id", "row", "text_sha256", "pos", F.expr(f"substring(b, pos * {chunk} + 1, {chunk})").alias("part")).repartition("row", "pos")
+    cut = cut.select("doc_id", "row", "own.x", "own.text_sha256", "pos", F.expr(f"substring(b, pos * {chunk} + 1, {chunk})").alias("part")).repartition("row", "pos")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = b.column("part").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("doc_id", "row", "text_sha256", "pos")), pa.array([len(p) for p in parts], pa.int64()), pa.array([chunk_hash(p).to_bytes(16, "big") for p in parts], pa.binary())],
-                ["doc_id", "row", "text_sha256", "pos", "n", "h"],
+                [*(b.column(c) for c in ("doc_id", "row", "x", "text_sha256", "pos")), pa.array([len(p) for p in parts], pa.int64()), pa.array([chunk_hash(p).to_bytes(16, "big") for p in parts], pa.binary())],
+                ["doc_id", "row", "x", "text_sha256", "pos", "n", "h"],
             )
 
-    hashed = cut.mapInArrow(hashes, "doc_id long, row long, text_sha256 string, pos int, n long, h binary")
-    grouped = hashed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.sort_array(F.collect_list(F.struct("pos", "n", "h"))).alias("parts"))
+    hashed = cut.mapInArrow(hashes, "doc_id long, row long, x long, text_sha256 string, pos int, n long, h binary")
+    grouped = hashed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("x").alias("x"), F.first("text_sha256").alias("text_sha256"), F.sort_array(F.collect_list(F.struct("pos", "n", "h"))).alias("parts"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,35 +118,28 @@ def huge_fingerprints(docs: DataFrame, chunk: int = CHUNK * 64) -> DataFrame:
                 for p in parts:
                     h, total = combine(h, int.from_bytes(p["h"], "big"), p["n"]), total + p["n"]
                 fps.append(_pack(h, total))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.binary()), b.column("text_sha256")], ["doc_id", "fp", "text_sha256"])
-
-    return grouped.mapInArrow(join_up, "doc_id long, fp binary, text_sha256 string")
-
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.binary()), b.column("x"), b.column("text_sha256")], ["doc_id", "fp", "x", "text_sha256"])
 
-def _same(a: memoryview, b: memoryview) -> bool:
-    """Chunkwise comparison; stops at the first chunk that differs."""
-    return len(a) == len(b) and all(a[i : i + CHUNK] == b[i : i + CHUNK] for i in range(0, len(a), CHUNK))
+    return grouped.mapInArrow(join_up, NARROW)
 
 
 def _classes(keys: list[str], carry: list[str], schema: pa.Schema):
-    """Streams rows sorted by `keys`; numbers the different texts within a run of equal keys. The first of each keeps its text.
+    """Streams chunks sorted by `keys`; numbers the different ones within a run of equal keys. The first of each keeps its bytes.
 
-    Memory: the different texts of one run, which is one text unless fingerprints collide.
+    Memory: the different chunks of one run, which is one of CHUNK bytes unless fingerprints collide.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, reps = None, []
+        current, seen = None, []
         for b in batches:
-            norm, cls, kept = b.column("norm"), [], []
-            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys))):
+            parts, cls, kept = b.column("part").to_pylist(), [], []
+            for part, key in zip(parts, zip(*(b.column(k).to_pylist() for k in keys))):
                 if key != current:
-                    current, reps = key, []
-                view = memoryview(norm[i].as_buffer()).cast("B")
-                k = next((k for k, r in enumerate(reps) if _same(r, view)), None)
-                if k is None:
-                    k = len(reps)
-                    reps.append(memoryview(bytes(view)))
-                    kept.append(bytes(view))
+                    current, seen = key, []
+                k = next((k for k, other in enumerate(seen) if other == part), len(seen))
+                if k == len(seen):
+                    seen.append(part)
+                    kept.append(part)
                 else:
                     kept.append(None)
                 cls.append(k)
@@ -155,38 +148,44 @@ def _classes(keys: list[str], carry: list[str], schema: pa.Schema):
     return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as the empty text. Of equal texts the largest
     doc_id stays. Rows that repeat a doc_id count singly in group_size and share its verdict. A null doc_id never stays
-    unless its whole group has none (then keep_id is null and kept is true for all of it). An empty table gives no rows.
+    unless its whole group has none (then keep_id is null and kept is true for all of it). An empty table gives no rows;
+    further columns are not read. `huge`, `hot` and `chunk` decide how work is spread and change no result.
     """
-    base = doc_text(docs, id_col, text_col)
-    narrow_schema = "doc_id long, fp binary, text_sha256 string"
-    small = map_text(base.filter(F.octet_length("text") <= huge), _fingerprints, narrow_schema)
+    base = doc_text(docs, id_col, text_col).withColumn("x", F.xxhash64(lower_az(F.col("text"))))
+    small = map_text(base.filter(F.octet_length("text") <= huge), _fingerprints, NARROW)
     large = huge_fingerprints(base.filter(F.octet_length("text") > huge))
     narrow = materialize(small.unionByName(large))
-    dup = materialize(narrow.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp"))
-    dup_salted = replicated(dup)
-
-    singles = narrow.withColumn("salt", salt(F.coalesce("doc_id", F.xxhash64("text_sha256")))).join(dup_salted, ["fp", "salt"], "left_anti")
-    singles = singles.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-
-    texts = map_text(base, _with_text, "doc_id long, fp binary, text_sha256 string, norm binary")
-    texts = texts.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(dup_salted.hint("merge"), ["fp", "salt"], "left_semi")
-    # The join leaves rows distributed and sorted by (fp, salt) when it sorts; where it broadcasts, this exchange does.
-    texts = texts.repartition("fp", "salt").sortWithinPartitions("fp", "salt")
-    sliced = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("text_sha256", pa.string()), ("salt", pa.int32()), ("cls", pa.int32()), ("norm", pa.binary())])
-    compared = materialize(texts.mapInArrow(_classes(["fp", "salt"], ["doc_id", "fp", "text_sha256", "salt"], sliced), "doc_id long, fp binary, text_sha256 string, salt int, cls int, norm binary"))
-    # Of each slice one text a class is left; those of one fingerprint, at most SALTS, are compared with each other.
-    reps = compared.filter("norm is not null").select("fp", "salt", "cls", "norm").withColumnRenamed("cls", "part")
-    merged = pa.schema([("fp", pa.binary()), ("salt", pa.int32()), ("part", pa.int32()), ("cls", pa.int32()), ("norm", pa.binary())])
-    classes = reps.repartition("fp").sortWithinPartitions("fp", "salt", "part").mapInArrow(_classes(["fp"], ["fp", "salt", "part"], merged), "fp binary, salt int, part int, cls int, norm binary").drop("norm")
-    rows = materialize(compared.drop("norm").withColumnRenamed("cls", "part").join(classes, ["fp", "salt", "part"]))
-    groups = replicated(rows.groupBy("fp", "cls").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    copies = rows.join(groups, ["fp", "cls", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return singles.unionByName(copies)
-
-
-assert SALTS > 1
+    dup = materialize(narrow.groupBy("fp", "x").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    maybe, crowded = bloom(dup, F.col("x")), bloom(dup.filter(F.col("n") > hot), F.col("x"))
+
+    alone = F.col("doc_id"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("text_sha256")
+    apart = narrow.filter(~maybe(F.col("x"))).select(*alone)
+    checked = narrow.filter(maybe(F.col("x"))).join(dup, ["fp", "x"], "left_anti").select(*alone)
+
+    texts = map_text(base.filter(maybe(F.col("x"))), _with_text, NARROW + ", norm binary").withColumn("row", F.monotonically_increasing_id())
+    texts = texts.withColumn("salt", F.when(crowded(F.col("x")), salt(F.col("row"), HOT_SALTS)).otherwise(F.lit(0)))
+    last = F.floor((F.greatest(F.octet_length("norm"), F.lit(1)) - 1) / chunk).cast("int")
+    own = F.when(F.col("pos") == 0, F.struct("doc_id", "text_sha256")).alias("own")
+    parts = texts.withColumn("pos", F.explode(F.sequence(F.lit(0), last))).select("fp", "x", "pos", "salt", "row", own, F.expr(f"substring(norm, pos * {chunk} + 1, {chunk})").alias("part"))
+    keys = ["fp", "x", "pos", "salt"]
+    carried = pa.schema([("fp", pa.binary()), ("x", pa.int64()), ("pos", pa.int32()), ("salt", pa.int32()), ("row", pa.int64()), ("own", pa.struct([("doc_id", pa.int64()), ("text_sha256", pa.string())])), ("cls", pa.int32()), ("part", pa.binary())])
+    parts = parts.repartition(*keys).sortWithinPartitions(*keys)
+    compared = materialize(parts.mapInArrow(_classes(keys, [*keys, "row", "own"], carried), "fp binary, x long, pos int, salt int, row long, own struct<doc_id:long,text_sha256:string>, cls int, part binary"))
+    # Of each slice one chunk a class is left; those of one hot fingerprint, HOT_SALTS at most unless it collides, are compared.
+    firsts = compared.filter("part is not null").join(dup.filter(F.col("n") > hot).select("fp", "x"), ["fp", "x"]).select("fp", "x", "pos", "salt", F.col("cls").alias("own_cls"), "part")
+    merged = pa.schema([("fp", pa.binary()), ("x", pa.int64()), ("pos", pa.int32()), ("salt", pa.int32()), ("own_cls", pa.int32()), ("cls", pa.int32()), ("part", pa.binary())])
+    order = firsts.repartition("fp", "x", "pos").sortWithinPartitions("fp", "x", "pos", "salt", "own_cls")
+    same = order.mapInArrow(_classes(["fp", "x", "pos"], [*keys, "own_cls"], merged), "fp binary, x long, pos int, salt int, own_cls int, cls int, part binary").drop("part").withColumnRenamed("cls", "joint")
+    named = compared.drop("part").withColumnRenamed("cls", "own_cls").join(same, [*keys, "own_cls"], "left").withColumn("cls", F.coalesce("joint", "own_cls"))
+    # A text's class is the list of its chunks' classes; only chunks of collided fingerprints have one other than 0.
+    odd = F.to_json(F.sort_array(F.collect_list(F.when(F.col("cls") > 0, F.struct("pos", "cls"))))).alias("odd")
+    rows = named.groupBy("fp", "x", "row").agg(odd, F.max("own").alias("own"), F.max("salt").alias("salt")).join(dup, ["fp", "x"], "left_semi")
+    rows = materialize(rows.select("fp", "x", "odd", "own.doc_id", "own.text_sha256"))
+    groups = replicated(rows.groupBy("fp", "x", "odd").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    copies = rows.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(groups, ["fp", "x", "odd", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return apart.unionByName(checked).unionByName(copies)
