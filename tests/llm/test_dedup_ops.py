@@ -6,8 +6,10 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftfacts.llm import exact_dedup as ed
+from weftfacts.llm.common import bloom, without
 from weftfacts.llm.components import components
 from weftfacts.llm.line_dedup import line_dedup
 from weftfacts.llm.simhash import fingerprints, near_duplicates, near_links, plan_blocks
@@ -51,8 +53,8 @@ def test_exact_dedup(docs, rows):
         n = (t or "").translate(LOW)
         keep = max((x for x in groups[n] if x is not None), default=None)
         want.append((i, keep, len(groups[n]), i == keep, hashlib.sha256(n.encode()).hexdigest()))
-    for huge in (ed.HUGE, 5000):
-        got = [tuple(r) for r in ed.exact_dedup(docs, huge=huge).collect()]
+    for huge, hot, chunk in ((ed.HUGE, ed.HOT, ed.CHUNK), (5000, 2, 64)):
+        got = [tuple(r) for r in ed.exact_dedup(docs, huge=huge, hot=hot, chunk=chunk).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
     assert ed.exact_dedup(docs.limit(0)).collect() == []
 
@@ -62,9 +64,33 @@ def test_fingerprints_compose_and_collisions_are_told_apart(spark, monkeypatch):
     data = bytes(rng.randrange(256) for _ in range(5000))
     for cut in (0, 1, 777, 5000):
         assert ed.combine(ed.chunk_hash(data[:cut]), ed.chunk_hash(data[cut:]), 5000 - cut) == ed.fingerprint(data, 64)
-    run = ed._classes(["fp", "salt"], ["doc_id"], ed.pa.schema([("doc_id", ed.pa.int64()), ("cls", ed.pa.int32()), ("norm", ed.pa.binary())]))
-    batch = ed.pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "fp": [b"a"] * 4, "salt": [0] * 4, "norm": [b"x", b"y", b"x", b"y"]})
-    assert next(run(iter([batch]))).column("cls").to_pylist() == [0, 1, 0, 1]
+    run = ed._classes(["fp", "pos"], ["doc_id"], ed.pa.schema([("doc_id", ed.pa.int64()), ("cls", ed.pa.int32()), ("part", ed.pa.binary())]))
+    first = ed.pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "fp": [b"a"] * 3, "pos": [0] * 3, "part": [b"x", b"y", b"x"]})
+    then = ed.pa.RecordBatch.from_pydict({"doc_id": [4, 5], "fp": [b"a"] * 2, "pos": [0, 1], "part": [b"y", b"y"]})
+    assert [c for b in run(iter([first, then])) for c in b.column("cls").to_pylist()] == [0, 1, 0, 1, 0]
+
+
+def test_bloom_passes_every_key(spark):
+    keys = spark.range(0, 5000, 7)
+    test = bloom(keys, F.col("id"))
+    assert spark.range(5000).filter(test(F.col("id")) & (F.col("id") % 7 == 0)).count() == 715
+    assert spark.range(5000).filter(test(F.col("id"))).count() < 1000
+    assert spark.range(10).filter(bloom(keys.limit(0), F.col("id"))(F.col("id"))).count() == 0
+    assert spark.range(10).filter(bloom(keys, F.col("id"), max_words=16)(F.col("id"))).count() == 10
+    assert without(spark.range(100), keys, "id").count() == 85
+
+
+def test_line_dedup_of_rows_without_an_id(spark):
+    shared, own = "a line of more than twenty characters", "another line that only this row holds"
+    rows = [(None, shared), (None, f"{shared}\n{own}"), (1, shared), (2, f"x\n{shared}"), (2, own), (None, None)]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["kept_text"]) for r in got) == [(0, ""), (0, ""), (0, own), (1, ""), (2, own), (2, f"x\n{shared}")]
+
+
+def test_line_dedup_carries_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "t", "a", [1])], "doc_id long, text string, n_lines string, drops array<int>")
+    r = line_dedup(df, carry=("n_lines", "drops", "text")).first()
+    assert (r["n_lines"], r["carried"]["n_lines"], r["carried"]["drops"], r["carried"]["text"]) == (1, "a", [1], "t")
 
 
 def simhash(text):

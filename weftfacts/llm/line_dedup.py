@@ -4,8 +4,9 @@ A line's key is the line stripped of ASCII white space and lower-cased in A-Z. A
 that at least `min_docs` documents hold loses all its lines but those in the largest doc_id that holds it.
 
 Cost: the 128-bit key hashes are shuffled once, after each document gives a key only once and each map task has combined
-its counts, so a line that a third of all documents share is one row a task. Repeated keys are few; they meet their
-occurrences in a join salted on both sides. Only documents that lose lines are moved with their text.
+its counts, so a line that a third of all documents share is one row a task. Only occurrences of keys that a Bloom filter of
+repeated keys lets through meet the repeated keys, in a join salted on both sides. Of the texts, only those that lose lines
+(and the few the filter can't tell from them) are moved; the others stay where they are read and don't enter Python.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, doc_text, map_text, materialize, replicated, salt, text_bytes
+from .common import LOWER, bloom, doc_text, map_text, materialize, replicated, salt, text_bytes
 
 _STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 _CONT = bytes(range(0x80, 0xC0))
@@ -40,29 +41,33 @@ def _hashes(text: bytes, min_chars: int) -> list[bytes | None]:
 
 def _exploder(min_chars: int):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        ids, owner, keys = piece.column("doc_id"), [], []
+        owner, keys = [], []
         for i, t in enumerate(text_bytes(piece.column("text"))):
             own = set(_hashes(t, min_chars))
             own.discard(None)
             owner += [i] * len(own)
             keys += own
-        pair = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["doc_id", "h1", "h2"])
+        pair, at = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2), pa.array(owner, pa.int64())
+        return pa.RecordBatch.from_arrays([piece.column("doc_id").take(at), piece.column("th").take(at), pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["doc_id", "th", "h1", "h2"])
 
     return run
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, drops): of every document that loses lines, the 16-byte hashes of the keys it loses. docs: doc_id, text."""
-    lines = materialize(map_text(docs.filter(F.octet_length("text") >= min_chars), _exploder(min_chars), "doc_id long, h1 long, h2 long"))
-    often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
-    often = replicated(materialize(often))
+    """(doc_id, th, drops): of every text that loses lines, the 16-byte hashes of the keys it loses. docs: doc_id, text, th.
+
+    th tells the texts of one doc_id apart, so that no row carries keys that its text lacks, however many rows share an id
+    or have none.
+    """
+    lines = materialize(map_text(docs.filter(F.octet_length("text") >= min_chars), _exploder(min_chars), "doc_id long, th long, h1 long, h2 long"))
+    often = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2"))
     # Rows that repeat a doc_id are one document: the exact distinct count is taken where it can matter.
-    held = lines.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(often, ["h1", "h2", "salt"])
-    held = materialize(held.select("h1", "h2", "salt", "doc_id").distinct())
-    keep = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id")).filter(F.col("n") >= min_docs)
+    maybe = bloom(often, F.struct("h1", "h2"))
+    held = lines.filter(maybe(F.struct("h1", "h2"))).withColumn("salt", salt(F.struct("doc_id", "th"))).join(replicated(often), ["h1", "h2", "salt"])
+    held = materialize(held.select("h1", "h2", "salt", "doc_id", "th").distinct())
+    keep = held.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id")).filter(F.col("n") >= min_docs)
     lost = held.join(replicated(keep.drop("n")), ["h1", "h2", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+    return lost.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
 
 
 def _rebuild(min_chars: int, with_text: bool):
@@ -97,20 +102,25 @@ def _rebuild(min_chars: int, with_text: bool):
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, kept_sha256, kept_text (null unless with_text), columns in carry.
+    """One row per input row: doc_id, n_lines, n_dropped, kept_sha256, kept_text (null unless with_text), and, if `carry` names
+    columns of docs, the struct `carried` of them; their names may be any.
 
     Null and empty texts are one empty line. Rows that repeat a doc_id count as one document and each lose the lines that
     this document loses; rows without a doc_id likewise count as one document, which keeps a key only if no other holds
-    it. Lines below min_chars always stay. An empty table gives no rows; columns
-    not in `carry` are not read, those in it may have any name but one of the result's.
+    it. Lines below min_chars always stay. An empty table gives no rows; columns not in `carry` are not read.
     """
-    if set(carry) & {"doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"}:
-        raise ValueError("carried columns clash with the result's")
     base = doc_text(docs, id_col, text_col)
-    drops = materialize(dropped_keys(base, min_chars, min_docs))
-    # The join is on one narrow row a document that loses lines; AQE splits a doc_id that very many rows repeat.
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c_{k}") for k, c in enumerate(carry)])
-    kinds = [(f.name, f.dataType.simpleString()) for f in whole.schema.fields if f.name.startswith("c_")]
-    joined = whole.join(drops.hint("merge"), whole["doc_id"].eqNullSafe(drops["doc_id"]), "left").select(whole["doc_id"], *[c for c, _ in kinds], "text", "drops")
-    out = joined.mapInArrow(_rebuild(min_chars, with_text), "doc_id long, " + "".join(f"{c} {t}, " for c, t in kinds) + "n_lines long, n_dropped long, kept_sha256 string, kept_text string")
-    return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text", *[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    drops = materialize(dropped_keys(base.withColumn("th", F.xxhash64("text")), min_chars, min_docs))
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"), *more)
+    extra = ["carried"] if carry else []
+    result = ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text", *extra]
+    touched = bloom(drops, F.struct("doc_id", "th"))(F.struct("doc_id", "th"))
+    n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    same = whole.filter(~touched).select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if with_text else F.lit(None).cast("string")).alias("kept_text"), *extra)
+    some = whole.filter(touched)
+    joined = some.join(drops, some["doc_id"].eqNullSafe(drops["doc_id"]) & (some["th"] == drops["th"]), "left").select(some["doc_id"], *extra, "text", "drops")
+    kinds = "".join(f"carried {f.dataType.simpleString()}, " for f in whole.schema.fields if f.name == "carried")
+    out = joined.mapInArrow(_rebuild(min_chars, with_text), "doc_id long, " + kinds + "n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    return same.select(*result).unionByName(out.select(*result))
