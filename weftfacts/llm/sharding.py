@@ -56,6 +56,9 @@ def _round(probes: np.ndarray, open_: np.ndarray, share: float, take: int):
             picked = []
             for k, a, z in zip(which.tolist(), first.tolist(), ends.tolist()):
                 some = rng.integers(a, z, min(take, z - a)).tolist() if open_[k] and rng.random() < share else []
+                if open_[k] and share >= 1:
+                    # A key above the interval's own edge, if there is one: the search then ends, whatever the keys.
+                    some.append(min(a + (z - a) // 2 + (keys[a + (z - a) // 2] == (probes[k - 1] if k else b"")), z - 1))
                 picked.append([keys[i].ljust(24, b"\0") for i in some])
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.add.reduceat(size, first)), pa.array(ends - first, pa.int64()), pa.array(picked, pa.list_(pa.binary()))], ["at", "bytes", "rows", "keys"])
 
@@ -77,21 +80,23 @@ def _open(counted: dict[bytes, tuple[int, int]], total: tuple[int, int], shards:
     return out
 
 
-def find_splitters(narrow: DataFrame, shards: int, tolerance: float, max_rounds: int = 60) -> tuple[list[bytes], dict[bytes, tuple[int, int]], tuple[int, int]]:
+def find_splitters(narrow: DataFrame, shards: int, tolerance: float) -> tuple[list[bytes], dict[bytes, tuple[int, int]], tuple[int, int]]:
     """(the shards - 1 boundary keys, every counted key with its exact (bytes, rows) below, (bytes, rows) in all).
 
-    A row belongs below a boundary when its key is smaller. narrow: h, d, row, size.
+    A row belongs below a boundary when its key is smaller. narrow: h, d, row, size; no two rows share all three.
+    The search ends: a round that finds no new key for an interval takes one from every batch the next time, and an open
+    interval always holds a key above its edge, so that each round but those narrows every open interval.
     """
     counted: dict[bytes, tuple[int, int]] = {}
     fresh: set[bytes] = set()
     spans: list[tuple[bytes, bytes]] = [(b"", _END)]  # where candidates are wanted
-    total, batches = (0, 0), 1
-    for _ in range(max_rounds):
+    total, batches, sparse = (0, 0), 1, False
+    while True:
         ordered = sorted({*counted, *fresh})
         edges = [b"", *ordered, _END]
         open_ = np.array([any(lo <= a and z <= hi for lo, hi in spans) for a, z in zip(edges, edges[1:])])
         many = max(1, int(open_.sum()) // len(spans)) if spans else 1
-        share, take = min(1.0, SAMPLE / (batches * many)), max(1, min(64, SAMPLE // (batches * many)))
+        share, take = 1.0 if sparse else min(1.0, SAMPLE / (batches * many)), max(1, min(64, SAMPLE // (batches * many)))
         out = narrow.select("h", "d", "row", "size").mapInArrow(_round(_pad(ordered), open_, share, take), "at int, bytes long, rows long, keys array<binary>")
         found = {r["at"]: r for r in out.groupBy("at").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list("keys")).alias("keys")).collect()}
         low_b = low_r = 0
@@ -107,11 +112,12 @@ def find_splitters(narrow: DataFrame, shards: int, tolerance: float, max_rounds:
         if not wanted:
             break
         # `edges` are now all counted; interval k of them lies between edges[k] and edges[k + 1].
-        fresh, spans = set(), []
+        fresh, spans, sparse = set(), [], False
         for k, goals in wanted.items():
             spans.append((edges[k], edges[k + 1]))
             keys = sorted(set(found[k]["keys"]) - {edges[k]}) if k in found else []
             if not keys:
+                sparse = True
                 continue
             low = counted[edges[k]][0] if k else 0
             high = counted[edges[k + 1]][0] if k + 1 < len(edges) - 1 else total[0]
