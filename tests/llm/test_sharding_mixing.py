@@ -1,11 +1,13 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from weftfacts.llm.mixing import AXES, POWERS, calibrate, mix, rake, targets
+from weftfacts.llm.mixing import AXES, POWERS, ROOM, mix, reached
 from weftfacts.llm.sharding import shard_rows, write_shards
 
 RNG = random.Random(4)
@@ -42,39 +44,85 @@ def test_more_shards_than_rows(spark):
     assert sorted(r["slot"] for r in shard_rows(df, shards=40).collect()) in ([0, 0], [0, 1])
 
 
-def test_raking_meets_all_marginals():
-    rng = np.random.default_rng(1)
-    cells = [(s, g, t) for s in "abc" for g in ("en", "de", None) for t in "xy"]
-    tokens = rng.integers(1, 1000, len(cells)).astype(float)
-    goal = targets({a: {v: sum(n for c, n in zip(cells, tokens) if c[k] == v) for v in {c[k] for c in cells}} for k, a in enumerate(AXES)})
-    w = rake(cells, tokens, goal)
+def brute_order(rows):
+    """Rows by signed XXH64 of the text (seed 42), then doc_id, as the law says."""
+    h = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if x >> 63 else 0)
+    return sorted((h(t or ""), -(1 << 63) if i is None else i, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+
+
+def test_shards_are_the_sorted_rows_cut_at_the_nearest_rows(docs):
+    want = brute_order(ROWS)
+    for shards, tolerance in ((7, 0.001), (13, 0.0)):
+        got = sorted(shard_rows(docs, shards=shards, tolerance=tolerance, part_rows=50).collect(), key=lambda r: (r["shard"], r["slot"]))
+        assert [(-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["text_crc32"]) for r in got] == [w[1:] for w in want]
+        # No cut between two neighbouring rows is nearer to a boundary's target, but for the tolerance.
+        below = np.concatenate(([0], np.cumsum([r["size"] for r in got])))
+        for i in range(1, shards):
+            at = sum(r["shard"] < i for r in got)
+            target = below[-1] * i / shards
+            assert abs(below[at] - target) <= max(np.abs(below - target).min(), tolerance * below[-1] / shards) + 1e-6
+
+
+def brute_rake(cells, powers, budget):
+    """Plain coordinate scaling of every cell's probability, one axis value after another, by bisection."""
+    total = sum(cells.values())
+    goals = []
     for k, a in enumerate(AXES):
-        for v, share in goal[a].items():
-            assert abs(sum(x for c, x in zip(cells, w) if c[k] == v) - share) < 1e-8
-    # Raking keeps the interaction: the cross ratios stay those of the tokens.
-    assert np.isclose(w[0] * w[3] / (w[1] * w[2]), tokens[0] * tokens[3] / (tokens[1] * tokens[2]))
-    p = calibrate(tokens, w, 0.5)
-    assert abs((p * tokens).sum() - 0.5 * tokens.sum()) < 1e-3 * tokens.sum() and p.max() <= 1
+        by = {}
+        for c, n in cells.items():
+            by[c[k]] = by.get(c[k], 0) + n
+        whole = sum(n ** powers[a] for n in by.values())
+        goals.append({v: n ** powers[a] / whole for v, n in by.items()})
+        budget = min(budget, ROOM * min(n / total / goals[k][v] for v, n in by.items()))
+    r = dict.fromkeys(cells, 1.0)
+    for _ in range(300):
+        for k, goal in enumerate(goals):
+            for v, share in goal.items():
+                own = [c for c in cells if c[k] == v]
+                lo, hi = -60.0, 60.0
+                for _ in range(80):
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if sum(min(1, r[c] * math.exp(mid)) * cells[c] for c in own) < share * budget * total else (lo, mid)
+                for c in own:
+                    r[c] *= math.exp(hi)
+    return {c: min(1, x) for c, x in r.items()}, goals
+
+
+@pytest.mark.parametrize("budget", [0.2, 0.9])
+def test_mix_against_plain_scaling(spark, budget):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        source = rng.choice(["hot"] * 6 + ["a", "b", None])
+        rows.append((i, " ".join(["w"] * rng.choice([20, 60, 400])), source, rng.choice(["en", "en", "de", None])))
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), budget=budget).cache()
+    cells, own = {}, {}
+    for r in got.collect():
+        c = tuple(r[a] for a in AXES)
+        cells[c] = cells.get(c, 0) + r["tokens"]
+        assert own.setdefault(c, r["probability"]) == r["probability"]
+    want, goals = brute_rake(cells, POWERS, budget)
+    assert budget < 0.5 or max(want.values()) == 1
+    for k in range(3):  # the brute force itself converged
+        for v, share in goals[k].items():
+            kept = sum(want[c] * n for c, n in cells.items())
+            assert abs(sum(want[c] * n for c, n in cells.items() if c[k] == v) / kept - share) < 1e-5
+    assert all(abs(own[c] - want[c]) < 1e-4 for c in cells)
+    for r in reached(got).collect():
+        assert abs(r["target"] - r["expected"]) < 1e-5
 
 
 def test_mix(docs):
     got = mix(docs, budget=0.6).collect()
     assert len(got) == len(ROWS)
-    twice = [(r["probability"], r["kept"]) for r in got if r["doc_id"] == 5 and r["tokens"] == 1]
-    assert len(set(twice)) == 1
-    cells = {}
-    for r in got:
-        c = cells.setdefault(tuple(r[a] for a in AXES), [0, r["probability"]])
-        c[0] += r["tokens"]
-        assert c[1] == r["probability"]
-    names = list(cells)
-    tokens = np.array([cells[c][0] for c in names], float)
-    goal = targets({a: {v: sum(n for c, n in zip(names, tokens) if c[k] == v) for v in {c[k] for c in names}} for k, a in enumerate(AXES)}, POWERS)
-    assert np.allclose(calibrate(tokens, rake(names, tokens, goal), 0.6), [cells[c][1] for c in names], atol=1e-6)
-    assert mix(docs.limit(0)).collect() == []
-
-
-def test_mix_with_many_cells_is_the_same(docs):
-    a = {(r["doc_id"], r["tokens"], r["lang"]): r["probability"] for r in mix(docs).collect()}
-    b = {(r["doc_id"], r["tokens"], r["lang"]): r["probability"] for r in mix(docs, max_cells=0).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+    assert len({(r["probability"], r["kept"]) for r in got if r["doc_id"] == 5 and r["tokens"] == 1}) == 1
+    assert all(r["kept"] for r in got if r["tokens"] == 0 and r["source"] is None and r["topic"] == "none") and mix(docs.limit(0)).collect() == []
+    assert 0 < sum(r["kept"] for r in got) < len(got)
+
+
+def test_mix_on_both_sides_of_the_bound_is_the_same(docs):
+    key = lambda r: (r["doc_id"] or -1, r["tokens"], str(r["lang"]), str(r["source"]))
+    a, b = mix(docs).collect(), mix(docs, max_cells=0).collect()
+    assert sorted((*key(r), r["kept"]) for r in a) == sorted((*key(r), r["kept"]) for r in b)
+    a, b = {key(r): r["probability"] for r in a}, {key(r): r["probability"] for r in b}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 2e-7 for k in a)
