@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, replicated, salt
+from .common import materialize, release, replicated, salt
 
 
 def _lowest(arcs: DataFrame) -> DataFrame:
@@ -18,25 +18,24 @@ def _to_lowest(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("salt", salt(F.col("b"))).join(replicated(_lowest(arcs)), ["a", "salt"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component. Loops and repeats are allowed.
 
     Each round writes the edges to the shared folder, which cuts lineage. The rounds needed grow with the logarithm of the
-    longest path; the loop ends when a round changes nothing.
+    longest path; the loop ends when a round leaves every edge as it was (the steps never add an edge and lower a node's neighbours, so they end).
     """
     e = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        count = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 31))).first()
-        if count[0] == 0 or tuple(count) == seen:
-            break
-        seen = tuple(count)
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = materialize(_to_lowest(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         joined = _to_lowest(large)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        e = materialize(small.filter("a <> b").distinct())
-    else:
-        raise RuntimeError("components did not settle")
+        new = materialize(small.filter("a <> b").distinct())
+        # Exactly unchanged: as many edges, and none of them new.
+        settled = new.count() == e.count() and new.join(e, ["a", "b"], "left_anti").isEmpty()
+        release(large, e)
+        e = new
+        if settled:
+            break
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -6,8 +6,9 @@ the grid of embeddings. The axes fall into `blocks` blocks: a pair at Manhattan
 most, hence shares all coordinates of some blocks - r of them, and thus a cell of one of C(blocks, r) axis-aligned grids.
 Within a cell the Manhattan distance of the embeddings is tested first, then the Hamming distance.
 
-The number of blocks grows with the counted number of different fingerprints, so that a fingerprint meets a bounded
-number of random others; every choice finds every pair. Cells above CELL rows are cut into sub-blocks whose pairs are
+The number of blocks follows the counted number of different fingerprints by a model of cost: more blocks are more rows to
+move, fewer are more comparisons (5 copies of a row at 10^5 fingerprints, 35 at 10^8, 210 at 10^10); every choice finds every
+pair. Cells above CELL rows are cut into sub-blocks whose pairs are
 compared by different tasks. A pair counts in the first grid that holds it. What leaves a task is a count per fingerprint
 and a spanning forest of the links it saw, never all pairs. Equal fingerprints are one row with a weight throughout.
 """
@@ -34,6 +35,8 @@ _EVEN = 0x5555555555555555
 _ENTROPY = 1.5
 #: Rows of a cell above which it is cut.
 CELL = 2048
+#: Cost of moving a row through the exchange, in comparisons.
+ROW_COST = 64
 
 
 def fingerprint(text: bytes) -> int:
@@ -87,15 +90,17 @@ def grids(blocks: int, radius: int) -> tuple[list[int], list[tuple[int, ...]]]:
     return masks, list(combinations(range(blocks), blocks - radius))
 
 
-def plan_blocks(n: int, radius: int, load: float = 64) -> int:
-    """The fewest blocks at which a fingerprint meets at most `load` of n random others over all grids."""
+def plan_blocks(n: int, radius: int) -> int:
+    """The blocks at which n random fingerprints cost least: a row for each grid is written, sorted and read, and meets the
+    others of its cell there. Every choice finds every pair."""
     if radius == 0:
         return 1
-    for blocks in range(radius + 1, 33):
+
+    def cost(blocks: int) -> float:
         cells = 2 ** (_ENTROPY * 32 * (blocks - radius) / blocks)
-        if math.comb(blocks, radius) * n / cells <= load or blocks == 16:
-            return blocks
-    return 32
+        return math.comb(blocks, radius) * (ROW_COST + n / cells)
+
+    return min(range(radius + 1, 33), key=cost)
 
 
 def _signed(x: int) -> int:
