@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from weftfacts.llm.piece_sampling import BYTE_WEIGHT, WINDOW, decode, encode, lattice
+from weftfacts.llm.piece_sampling import BYTE_WEIGHT, LONG, decode, encode, lattice
+from weftfacts.llm import piece_sampling as ps
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
-TEXTS = ["", " ", "Hello  world", " é▁漢\x00 \U0001f600x", "a" * 300, "  \n ", "the nation of tion", "▁▁", "x" * (WINDOW + 1)]
+TEXTS = ["", " ", "Hello  world", " é▁漢\x00 \U0001f600x", "a" * 300, "  \n ", "the nation of tion", "▁▁", "x" * (LONG + 1), "漢字の" * 400, "http://a.example/" + "nation" * 200]
 
 
 def spread(m, texts, keys):
@@ -59,6 +60,43 @@ def paths(m, word):
     return dict(walk(0))
 
 
+def test_long_stretches_give_the_same_draws_in_any_blocks(monkeypatch):
+    m, rng = lattice(PATH, 1.0), random.Random(3)
+    texts = ["".join(rng.choices(["nation", "the", "ing", "漢", "é", "▁", "\U0001f600", "x"], k=n)) + tail for n in (100, 120, 60) for tail in ("", " and  a rest")]
+    want = spread(m, texts, range(len(texts)))  # words side by side: none is over LONG
+    for long, block in ((3, 7), (3, 1 << 16), (40, 64)):
+        monkeypatch.setattr(ps, "LONG", long)
+        monkeypatch.setattr(ps.Lattice.stretch, "__defaults__", (block,))
+        assert spread(m, texts, range(len(texts))) == want
+    monkeypatch.setattr(ps, "PART", 50)
+    assert spread(m, texts, range(len(texts))) == want
+
+
+def test_pieces_cross_position_64_with_their_exact_probability(monkeypatch):
+    m, n = lattice(PATH, 1.0), 4000
+    word = "x" * 62 + "nation"
+    # Exact probability that a piece spans the cut between characters 64 and 65 (the mark is the first), from all prefixes.
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    pieces = {sp.id_to_piece(i): 1 / (2 - sp.get_score(i)) for i in range(259, sp.get_piece_size())}
+
+    def total(text):
+        sums = [1.0] + [0.0] * len(text)
+        for z in range(1, len(text) + 1):
+            for a in range(max(0, z - m.depth), z):
+                sums[z] += sums[a] * pieces.get(text[a:z], math.exp(BYTE_WEIGHT) if z - a == 1 else 0.0)
+        return sums[-1]
+
+    text = "▁" + word
+    want = 1 - total(text[:64]) * total(text[64:]) / total(text)
+    for long in (LONG, 10):
+        monkeypatch.setattr(ps, "LONG", long)
+        crossed = 0
+        for ids in spread(m, [word] * n, np.random.default_rng(2).integers(0, 2**63, n)):
+            ends = np.cumsum([len(sp.id_to_piece(i)) for i in ids])
+            crossed += 64 not in ends
+        assert 0.05 < want < 0.95 and abs(crossed / n - want) < 5 * math.sqrt(want * (1 - want) / n)
+
+
 @pytest.mark.parametrize("word", ["hello", "tion of"])
 def test_segmentations_come_with_their_exact_probability(word):
     m, n = lattice(PATH, 1.0), 30_000

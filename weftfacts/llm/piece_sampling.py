@@ -5,7 +5,9 @@ walks from the end and draws each last piece with its exact conditional probabil
 probability proportional to the product of its pieces' weights. Draws are hashes of the row key and the position, hence
 reproducible whatever the partitioning. No piece has a word mark after another character, so the lattice falls apart
 before word marks: each different word of a batch is filtered once, all of them side by side, and every occurrence samples
-its own path. Stretches of over WINDOW characters without a word mark are cut every WINDOW characters.
+its own path. A stretch of over LONG characters without a word mark (Chinese, Thai, code, addresses) is filtered over its
+whole length too, in blocks that hand the last `depth` sums on; sampling then goes back through the blocks, filtering each
+again from what it was handed. Nothing is cut, and where a stretch or a block ends changes no probability.
 
 The model's scores order the merges; a piece of rank r weighs (r + 2) to the power -theta. Characters no piece covers
 become byte pieces, a literal word mark too, which is what keeps decoding lossless.
@@ -15,6 +17,7 @@ Cost: one pass over the texts, no shuffle; nothing is broadcast, the model file
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import doc_text, slices
 
 MARK, LITERAL = 0x2581, 0x110000
-WINDOW = 64
+#: Characters of a stretch above which it is filtered by itself, of its blocks, and of a part of a very long text.
+LONG, BLOCK, PART = 512, 1 << 16, 1 << 20
 #: Log weight of a byte piece, added for each byte of a character that has no piece.
 BYTE_WEIGHT = -12.0
 
@@ -185,43 +189,164 @@ class Lattice:
             share[head[a + 1 : z + 1] - 1] = 2.0  # the last edge takes what rounding leaves
         return row, off, head, took, piece, share, code
 
+    def _edges(self, codes: np.ndarray, first: int, last: int) -> tuple[np.ndarray, ...]:
+        """Edges that end after `first` and not after `last`, in the order of their ends: (end, characters, piece, weight)."""
+        a = max(0, first - self.depth + 1)
+        code = codes[a:last]
+        char = np.where(code == LITERAL, 0, self.char[code])
+        at, node, found, bare = np.arange(len(code)), np.zeros(len(code), np.int32), [], np.ones(len(code), bool)
+        for d in range(self.depth):
+            inside = at + d < len(code)
+            at, node = at[inside], node[inside]
+            c = char[at + d]
+            node = np.where(c > 0, self._step(node, c), 0) if d else self.root[c]
+            at, node = at[node > 0], node[node > 0]
+            if not len(at):
+                break
+            hit = self.piece[node] >= 0
+            found.append((at[hit] + d + 1, np.full(int(hit.sum()), d + 1), self.piece[node[hit]], self.weight[node[hit]]))
+            if d == 0:
+                bare[at[hit]] = False
+        own = np.flatnonzero(bare)
+        found.append((own + 1, np.ones(len(own), np.int64), np.full(len(own), -1, np.int32), BYTE_WEIGHT * self.n_bytes[code[own]]))
+        end, took, piece, weight = (np.concatenate(x) for x in zip(*found))
+        end = end + a
+        keep = np.flatnonzero(end > first)
+        keep = keep[np.argsort(end[keep], kind="stable")]
+        return end[keep], took[keep], piece[keep], weight[keep]
+
+    def _forward(self, codes: np.ndarray, first: int, last: int, tail: list[float]) -> tuple[list[float], tuple[np.ndarray, ...], list[int], list[float]]:
+        """Log sums of the prefixes that end at first - len(tail) + 1 to last (tail: those up to `first`), the edges, where
+        each position's edges begin, and each edge's log weight with the sum before it."""
+        edges = self._edges(codes, first, last)
+        end, took, _, weight = edges
+        head = np.searchsorted(end, np.arange(first + 1, last + 2)).tolist()
+        alpha, back, takes, weights = list(tail), [0.0] * len(end), took.tolist(), weight.tolist()
+        exp, log = math.exp, math.log
+        for k in range(last - first):
+            here = len(alpha)
+            a, z = head[k], head[k + 1]
+            if z - a == 1:
+                back[a] = alpha[here - takes[a]] + weights[a]
+                alpha.append(back[a])
+                continue
+            for e in range(a, z):
+                back[e] = alpha[here - takes[e]] + weights[e]
+            top = max(back[a:z])
+            alpha.append(top + log(sum([exp(v - top) for v in back[a:z]])))
+        return alpha, edges, head, back
+
+    def stretch(self, codes: np.ndarray, key: np.uint64, place: int, block: int = BLOCK) -> np.ndarray:
+        """The sampled ids of one stretch. place: of its first character in the document, which the draws depend on.
+
+        Memory beyond the codes: one block's edges, and `depth` numbers a block.
+        """
+        starts = list(range(0, len(codes), block))
+        tails = [[0.0]]
+        for a in starts[:-1]:
+            alpha = self._forward(codes, a, min(a + block, len(codes)), tails[-1])[0]
+            tails.append(alpha[-self.depth :])
+        at, out = len(codes), []
+        for a, tail in zip(reversed(starts), reversed(tails)):
+            z = min(a + block, len(codes))
+            alpha, (_, took, piece, _), head, back = self._forward(codes, a, z, tail)
+            draws = _uniform(np.full(z - a, key), place + np.arange(a + 1, z + 1)).tolist()
+            took, piece, zero = took.tolist(), piece.tolist(), len(tail) - 1
+            while at > a:
+                e, stop = head[at - a - 1], head[at - a]
+                whole, u, run = alpha[zero + at - a], draws[at - a - 1], 0.0
+                while e < stop - 1:
+                    run += math.exp(back[e] - whole)
+                    if run > u:
+                        break
+                    e += 1
+                at -= took[e]
+                if piece[e] >= 0:
+                    out.append(piece[e])
+                else:
+                    c = int(codes[at])
+                    out += self.byte_id[list("▁".encode() if c == LITERAL else chr(c).encode())][::-1].tolist()
+        return np.array(out[::-1], np.int32)
+
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after another; number of ids of each). keys: an unsigned 64-bit key a text."""
-        full = [i for i, t in enumerate(texts) if t]
-        counts = np.zeros(len(texts), np.int64)
-        if not full:
-            return np.zeros(0, np.int32), counts
-        joined = "".join([" " + texts[i] for i in full])
+        # A text begins with a mark of its own; a very long one is taken in parts that begin with its own marks.
+        ids, counts, parts, owner, places = [], np.zeros(len(texts), np.int64), [], [], []
+
+        def flush() -> None:
+            got, many = self._encode(parts, keys[owner], np.array(places, np.int64))
+            np.add.at(counts, owner, many)
+            ids.append(got)
+            parts.clear(), owner.clear(), places.clear()
+
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            t, a = " " + t, 0
+            while a < len(t):
+                z = len(t) if len(t) - a <= PART else t.find(" ", a + PART)
+                while 0 < z < len(t) and t[z - 1] == " ":
+                    z -= 1  # a run of marks begins a word as a whole
+                z = z if z > a else len(t)
+                parts.append(t[a:z])
+                owner.append(i)
+                places.append(a)
+                if len(parts[-1]) > PART:
+                    flush()
+                a = z
+        if parts:
+            flush()
+        return np.concatenate([np.zeros(0, np.int32), *ids]), counts
+
+    def _encode(self, texts: list[str], keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that begin with their mark; places: of each text's first character in its document."""
+        joined = "".join(texts)
         raw = np.frombuffer(joined.encode("utf-32-le"), np.int32)
-        size = np.array([len(texts[i]) + 1 for i in full])
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
         mark = raw == 0x20
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         begins = mark.copy()
         begins[1:] &= ~mark[:-1]
         begins[first] = True
         at = np.flatnonzero(begins)
-        long = np.diff(np.concatenate((at, [len(raw)])))
-        if long.max() > WINDOW:
-            extra = [a + np.arange(WINDOW, n, WINDOW) for a, n in zip(at[long > WINDOW], long[long > WINDOW])]
-            at = np.sort(np.concatenate([at, *extra]))
-            long = np.diff(np.concatenate((at, [len(raw)])))
-        cut = at.tolist()
-        words = [joined[a:z] for a, z in zip(cut, [*cut[1:], len(joined)])]
+        length = np.diff(np.concatenate((at, [len(raw)])))
+        doc = np.repeat(np.arange(len(texts)), size)[at]
+        key, place = keys[doc], at - first[doc] + places[doc]
+        total, alone = np.zeros(len(at), np.int64), {}
+        for k in np.flatnonzero(length > LONG).tolist():
+            codes = raw[at[k] : at[k] + length[k]]
+            alone[k] = self.stretch(np.where(codes == 0x20, MARK, np.where(codes == MARK, LITERAL, codes)), key[k], int(place[k]))
+            total[k] = len(alone[k])
+        some = np.flatnonzero(length <= LONG)
+        steps = self._words([joined[a:z] for a, z in zip(at[some].tolist(), (at + length)[some].tolist())], key[some], place[some]) if len(some) else []
+        for occ, _, _, before, n in steps:
+            total[some[occ]] = before + n
+        ends = np.cumsum(total)
+        ids = np.empty(int(ends[-1]), np.int32)
+        for k, got in alone.items():
+            ids[ends[k] - len(got) : ends[k]] = got
+        for occ, p, code, before, n in steps:
+            spot = ends[some[occ]] - before - n
+            plain = p >= 0
+            ids[spot[plain]] = p[plain]
+            for s, c in zip(spot[~plain].tolist(), code[~plain].tolist()):
+                data = "▁".encode() if c == LITERAL else chr(c).encode()
+                ids[s : s + len(data)] = self.byte_id[list(data)]
+        return ids, np.add.reduceat(total, np.searchsorted(doc, np.arange(len(texts))))
+
+    def _words(self, words: list[str], key: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Backward sampling of all occurrences at once, from the end: per step the occurrences, the pieces (-1: bytes of
+        the character), the characters, the ids taken before, and the ids of this step."""
         distinct = dict.fromkeys(words)
         number = dict(zip(distinct, range(len(distinct))))
         which = np.array(list(map(number.__getitem__, words)))
-        del words, distinct
         length = np.fromiter(map(len, number), np.int64, len(number))
         flat = np.frombuffer(("\0".join(number) + "\0").encode("utf-32-le"), np.int32)
         flat = np.where(flat == 0x20, MARK, np.where(flat == MARK, LITERAL, flat))
         row, off, head, took, piece, share, code = self.filter(flat, length)
-        lane = row[which]
-        # Backward sampling of all occurrences at once; the draw at a node depends on the row's key and the position.
-        doc = np.repeat(np.arange(len(full)), size)[at]
-        key, place = keys[full][doc], (at - first[doc]).astype(np.int64)
-        live, left, node_row = np.arange(len(at)), long.astype(np.int64), lane
+        live, left, node_row = np.arange(len(words)), length[which], row[which]
         steps = []
-        total = np.zeros(len(at), np.int64)
+        total = np.zeros(len(words), np.int64)
         while len(live):
             e = head[off[left] + node_row]
             u = _uniform(key[live], place[live] + left)
@@ -237,17 +362,7 @@ class Lattice:
             total[live] += n
             go = left > 0
             live, left, node_row = live[go], left[go], node_row[go]
-        ends = np.cumsum(total)
-        ids = np.empty(int(ends[-1]), np.int32)
-        for occ, p, code, before, n in steps:
-            spot = ends[occ] - before - n
-            plain = p >= 0
-            ids[spot[plain]] = p[plain]
-            for s, c in zip(spot[~plain].tolist(), code[~plain].tolist()):
-                data = "▁".encode() if c == LITERAL else chr(c).encode()
-                ids[s : s + len(data)] = self.byte_id[list(data)]
-        counts[full] = np.add.reduceat(total, np.searchsorted(doc, np.arange(len(full))))
-        return ids, counts
+        return steps
 
     def check(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> list[bool]:
         """Whether each text's ids decode to it; all at once where they all do."""
