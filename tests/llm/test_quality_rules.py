@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from weftfacts.llm.quality_rules import D, FIXED, chi2_quantile, mcd, quality_rules, text_stats
+from weftfacts.llm.quality_rules import D, FIXED, FLOOR, chi2_quantile, mcd, quality_rules, text_stats
 
 WS = " \t\n\r\x0b\x0c"
 
@@ -92,5 +92,30 @@ def test_estimate_resists_contamination(spark):
     assert all(1 / 0.5**2 * 0.4 < p[f"p{i}_{i}"] < 1 / 0.5**2 * 1.3 for i in (1, 2, 3, 4, 6, 7))
 
 
+def test_subset_is_the_one_of_all_with_the_lowest_determinant(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    for trial in range(2):
+        x = rng.normal(size=(12, D)) * 0.3
+        x[:3] += np.array([6.0, -4.0, 3.0, 0, 0, 5.0, 0, 2.0])  # three rows that mask each other
+        x = np.round(x * FIXED)
+        best = min((tuple(sorted(c)) for c in combinations(range(12), 9)), key=lambda c: np.linalg.slogdet(np.cov(x[list(c)].T / FIXED, bias=True) + np.diag(FLOOR**2))[1])
+        df = spark.createDataFrame([("g", i, *map(int, r)) for i, r in enumerate(x)], "g string, doc_id long, " + ", ".join(f"x{i} long" for i in range(D)))
+        p = mcd(df).first()
+        assert best == tuple(range(3, 12))
+        assert np.allclose([p[f"m{i}"] for i in range(D)], x[list(best)].mean(0) / FIXED)
+
+
+def test_groups_of_every_size_are_measured(spark):
+    # A group of one clean row stays, one of one absurd row goes, wherever the rest of the table lies.
+    rng = random.Random(12)
+    rows = [(i, t, "en", "hot") for i, t, *_ in make(rng, 300, set())]
+    rows += [(1000, make(rng, 1, set())[0][1], "en", "one"), (1001, make(rng, 1, {0})[0][1], "en", "two"), (1002, make(rng, 1, set())[0][1], "xx", "three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in quality_rules(df).collect() if not r["kept"]} == {1001}
+    assert [r["kept"] for r in quality_rules(df.filter("doc_id = 1000")).collect()] == [True]
+
+
 def test_chi2():
     assert abs(chi2_quantile(0.95, 7) - 14.067) < 1e-3 and D == 8

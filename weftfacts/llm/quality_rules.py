@@ -1,11 +1,16 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
 Every text becomes a vector of transformed statistics in fixed point. Per (language, source) the minimum covariance
-determinant is approached by concentration steps from a coordinate-wise median and MAD start: distances are binned, the
-bins that hold the closest `support` share of the rows form the subset, and its exact integer moments give the next mean
-and scatter. Rows beyond the cutoff Mahalanobis distance are rejected. The cutoff comes from the group's own distances: a
-scaled chi-square law that has their lower quartile and median, cut at its quantile 1 - tail. Outliers, up to the quarter that
-the estimate bears, hardly move the two; the law's degrees of freedom follow, since FLOOR leaves less than D to vary.
+determinant is sought by concentration steps: distances are binned, the bins that hold the closest `support` share of the
+rows form the subset, and its exact integer moments give the next mean and scatter. There are three starts (median and MAD;
+the spatial signs; bounded scores), two steps from each, and the start with the lowest determinant goes on until its
+determinant no longer falls. Rows beyond the cutoff Mahalanobis distance are rejected. The cutoff comes from the group's own
+distances: a scaled chi-square law that has their lower quartile and median, cut at its quantile 1 - tail. Outliers, up to
+the quarter that the estimate bears, hardly move the two; the law's degrees of freedom follow, since FLOOR leaves less than
+D to vary.
+
+A group's estimate is drawn towards that of its language, and the language's towards the table's, with the weight of `prior`
+rows, the table's towards a wide fixed law: so small groups are measured too, and no size switches anything.
 
 Cost: one pass over the texts writes a narrow table; every step is one aggregation of it with map-side combining into at
 most BINS rows a group, so a group with a third of all rows is never gathered. Moments are sums of integers, hence equal
@@ -83,14 +88,27 @@ def _measure(piece: pa.RecordBatch) -> pa.RecordBatch:
 
 
 _PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
-_PARAMS = "g string, n long, " + ", ".join(f"m{i} double" for i in range(D)) + ", " + ", ".join(f"p{i}_{j} double" for i, j in _PAIRS)
+_NAMES = ["g", "s", "n", "logdet", *(f"m{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in _PAIRS)]
+_PARAMS = "g string, s int, n long, " + ", ".join(f"{c} double" for c in _NAMES[3:])
 #: Least spread of a statistic, in its own unit: a statistic that is constant in a group must not reject by rounding.
 FLOOR = np.array([0.25, 0.05, 0.05, 0.05, 0.05, 0.25, 0.05, 0.05])
+#: Spread that a table without rows would have, in FLOORs.
+WIDE = 8.0
+#: Fixed point of the starts' products.
+UNIT = 1 << 20
 
 
-def _params(g: str, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
+def _params(g: str, s: int, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
     precision = np.linalg.inv(cov)
-    return [g, n, *mean, *(precision[i, j] * (1 if i == j else 2) for i, j in _PAIRS)]
+    return [g, s, n, float(np.linalg.slogdet(cov)[1]), *mean, *(precision[i, j] * (1 if i == j else 2) for i, j in _PAIRS)]
+
+
+def _unpack(row: pd.Series, end: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) of a row of parameters."""
+    precision = np.zeros((D, D))
+    for i, j in _PAIRS:
+        precision[i, j] = precision[j, i] = row[f"p{i}_{j}{end}"] / (1 if i == j else 2)
+    return np.array([row[f"m{i}{end}"] for i in range(D)]), np.linalg.inv(precision)
 
 
 def _starter(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,10 +123,27 @@ def _starter(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(dev)
         mad = dev[order][np.searchsorted(np.cumsum(c[order]), n / 2)]
         mean[f], var[f] = med / STEP, (1.4826 * mad / STEP) ** 2
-    return pd.DataFrame([_params(str(pdf["g"].iloc[0]), n, mean, np.diag(var + FLOOR**2))], columns=_NAMES)
+    return pd.DataFrame([_params(str(pdf["g"].iloc[0]), 0, n, mean, np.diag(var + FLOOR**2))], columns=_NAMES)
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The starts of one group: its median and MAD, and the same with the correlations of its spatial signs and of its
+    bounded scores."""
+    out = []
+    for _, row in pdf.iterrows():
+        mean, cov = _unpack(row)
+        spread = np.sqrt(np.diag(cov))
+        out.append(_params(row["g"], 0, row["n"], mean, cov))
+        for s, kind in ((1, "u"), (2, "t")):
+            c = np.zeros((D, D))
+            for i, j in _PAIRS:
+                c[i, j] = c[j, i] = row[f"{kind}{i}_{j}"] / UNIT / row["n"]
+            c += np.eye(D) * 1e-3
+            scale = 1 / np.sqrt(np.diag(c))
+            out.append(_params(row["g"], s, row["n"], mean, c * np.outer(scale, scale) * np.outer(spread, spread)))
+    return pd.DataFrame(out, columns=_NAMES)
 
 
-_NAMES = ["g", "n", *(f"m{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in _PAIRS)]
 #: Value bins a unit for the start.
 STEP = 64
 
@@ -141,7 +176,7 @@ def _concentrate(support: float):
         cov = np.zeros((D, D))
         for i, j in _PAIRS:
             cov[i, j] = cov[j, i] = int(near[f"q{i}_{j}"].astype(object).sum()) / h / FIXED**2 - mean[i] * mean[j]
-        return pd.DataFrame([_params(str(pdf["g"].iloc[0]), n, mean, cov * _consistency(h / n) + np.diag(FLOOR**2))], columns=_NAMES)
+        return pd.DataFrame([_params(str(pdf["g"].iloc[0]), int(pdf["s"].iloc[0]), n, mean, cov * _consistency(h / n) + np.diag(FLOOR**2))], columns=_NAMES)
 
     return run
 
@@ -175,16 +210,38 @@ def _consistency(share: float) -> float:
     return share / _chi2_cdf(q, D + 2)
 
 
-def mcd(narrow: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
-    """Parameters per group `g`: n, means m*, and precision p*. narrow: g, x0..x7 as integers."""
-    stacked = narrow.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * STEP / FIXED).cast("long") for i in range(D)])).alias("f", "v"))
-    params = materialize(stacked.groupBy("g", "f", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("g").applyInPandas(_starter, _PARAMS))
-    sums = [F.sum(F.col(f"x{i}")).alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS]
-    for _ in range(steps):
-        placed = with_params(narrow, params).withColumn("bin", _bin(_distance([F.col(f"x{i}") for i in range(D)])))
-        binned = placed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        params = materialize(binned.groupBy("g").applyInPandas(_concentrate(support), _PARAMS))
-    return params
+def mcd(narrow: DataFrame, support: float = 0.75) -> DataFrame:
+    """Parameters per group `g`: n, log determinant, means m*, and precision p*. narrow: g, doc_id, x0..x7 as integers."""
+    x = [F.col(f"x{i}") for i in range(D)]
+    stacked = narrow.select("g", F.posexplode(F.array(*[F.floor(c * STEP / FIXED).cast("long") for c in x])).alias("f", "v"))
+    middle = materialize(stacked.groupBy("g", "f", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("g").applyInPandas(_starter, _PARAMS))
+    z = [(c / F.lit(float(FIXED)) - F.col(f"m{i}")) / F.col(f"d{i}") for i, c in enumerate(x)]
+    spread = middle.select("g", *[F.col(f"m{i}") for i in range(D)], *[(1 / F.sqrt(f"p{i}_{i}")).alias(f"d{i}") for i in range(D)])
+    scored = with_params(narrow, spread).select("g", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    norm = F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0)), F.lit(1e-9))
+    scored = scored.withColumn("norm", norm).withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(D)})
+    fixed = lambda c: F.sum(F.round(c * UNIT).cast("long"))
+    products = [fixed(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).alias(f"u{i}_{j}") for i, j in _PAIRS] + [fixed(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS]
+    active = materialize(middle.join(scored.groupBy("g").agg(*products), "g").groupBy("g").applyInPandas(_starts, _PARAMS))
+
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in _PAIRS]
+
+    def step(params: DataFrame) -> DataFrame:
+        binned = with_params(narrow, params).withColumn("bin", _bin(_distance(x))).groupBy("g", "s", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+        return materialize(binned.groupBy("g", "s").applyInPandas(_concentrate(support), _PARAMS))
+
+    lowest = lambda t: t.groupBy("g").agg(F.min_by(F.struct(*t.columns), F.struct("logdet", "s")).alias("best")).select("best.*")
+    best = materialize(lowest(step(step(active))))
+    done, active = None, best
+    while not active.isEmpty():
+        # Groups whose determinant still falls go on; it is bounded below by that of FLOOR, so this ends.
+        old = active.select("g", F.col("logdet").alias("before"), F.struct(*_NAMES).alias("old"))
+        new = materialize(step(active).join(old, "g"))
+        falls = F.col("logdet") < F.col("before") - 1e-3
+        settled = materialize(new.filter(~falls).select("old.*"))
+        done = settled if done is None else done.unionByName(settled)
+        active = materialize(new.filter(falls).select(*_NAMES))
+    return (best if done is None else done).drop("s")
 
 
 def _law(tail: float) -> np.ndarray:
@@ -219,6 +276,27 @@ def with_cutoff(narrow: DataFrame, params: DataFrame, tail: float) -> DataFrame:
     return materialize(params.join(cut, "g"))
 
 
+def _drawn(tail: float, prior: float):
+    """Parameters of groups, each drawn towards its language's, those towards the table's, and those towards the wide law."""
+    ends = ("_table", "_lang", "")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far = math.log(chi2_quantile(1 - tail, D))
+        for pdf in batches:
+            rows = []
+            for _, row in pdf.iterrows():
+                mean, cov, cutoff = None, np.diag((WIDE * FLOOR) ** 2), far
+                for end in ends:
+                    w = row[f"n{end}"] / (row[f"n{end}"] + prior)
+                    m, c = _unpack(row, end)
+                    mean = m if mean is None else w * m + (1 - w) * mean
+                    cov, cutoff = w * c + (1 - w) * cov, w * math.log(row[f"cutoff{end}"]) + (1 - w) * cutoff
+                rows.append([*_params(row["g"], 0, row["n"], mean, cov), math.exp(cutoff)])
+            yield pd.DataFrame(rows, columns=[*_NAMES, "cutoff"])
+
+    return run
+
+
 def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Each row with its group's parameters; both sides salted, so that no group is one task. Spark broadcasts the
     parameters by itself when their written size is under its threshold."""
@@ -227,17 +305,16 @@ def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, tail: float = 1e-9, min_group: int = 200, steps: int = 3,
+    min_words: int = 50, max_repeat_percent: int = 50, support: float = 0.75, tail: float = 1e-9, prior: float = 200,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     base_failed: under min_words words, or over max_repeat_percent of the words in repeated 3-word windows. Rows that
     pass are measured against their (lang, source) group's estimate and kept unless the squared distance exceeds the
-    group's cutoff, the quantile 1 - tail of the law of its distances. Groups of under min_group passing rows are measured against
-    the estimate of all passing rows of their language, and where those are under min_group of the whole table; a table below
-    that rejects nothing. Null lang and
-    source are groups of their own. distance is null for rows that failed or weren't measured. Null and empty texts have
-    no words and fail. Repeated rows each count. An empty table gives no rows; further columns are not read.
+    group's cutoff, the quantile 1 - tail of the law of its distances; both are drawn towards those of the language and of
+    the table with the weight of `prior` rows. Null lang and source are groups of their own. distance is null for rows that
+    failed. Null and empty texts have no words and fail. Repeated rows each count. An empty table gives no rows; further
+    columns are not read.
     """
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
@@ -246,24 +323,14 @@ def quality_rules(
     narrow = materialize(narrow.withColumn("base_failed", failed))
     # JSON text of the pair tells null from any string.
     pair, lang = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"}), F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
-    keyed = narrow.withColumn("g2", pair).withColumn("g1", lang)
-    passing = keyed.filter(~F.col("base_failed"))
-    sizes = materialize(passing.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n2")))
-    n1 = sizes.groupBy("g1").agg(F.sum("n2").alias("n1"))
-    level = sizes.join(n1, "g1").select("g1", "g2", F.when(F.col("n2") >= min_group, F.col("g2")).when(F.col("n1") >= min_group, F.col("g1")).otherwise(F.lit("*")).alias("g"))
-    level = materialize(level)
-    # A pool that some group looks up is estimated from all passing rows of its language, or of the table; every row is
-    # one of each pool it belongs to, and is measured by the one its group looks up.
-    pooled = level.filter("g = g1").select("g1", F.col("g1").alias("_lang")).distinct()
-    whole = F.lit("*") if not level.filter("g = '*'").isEmpty() else F.lit(None).cast("string")
-    member = level.join(pooled, "g1", "left").select("g2", "g", F.array_compact(F.array_distinct(F.array(F.col("g"), F.col("_lang"), whole))).alias("pools"))
-    member = replicated(materialize(member))
-    grouped = passing.withColumn("salt", salt(F.coalesce("doc_id", F.lit(0)))).join(member, ["g2", "salt"]).drop("salt", "g1", "g2")
-    grouped = materialize(grouped)
-    every = grouped.select(F.explode("pools").alias("g"), "doc_id", *[f"x{i}" for i in range(D)])
-    params = with_cutoff(every, mcd(every, support, steps), tail)
+    grouped = materialize(narrow.filter(~F.col("base_failed")).withColumn("g", pair).withColumn("g1", lang))
+    every = grouped.select(F.explode(F.array("g", "g1", F.lit("*"))).alias("g"), "doc_id", *[f"x{i}" for i in range(D)])
+    raw = with_cutoff(every, mcd(every, support), tail)
+    named = lambda end: raw.select(*[F.col(c).alias(c + end) for c in raw.columns])
+    level = raw.join(grouped.select("g", "g1").distinct(), "g").join(named("_lang"), F.col("g1") == F.col("g_lang")).join(named("_table").filter("g_table = '*'"), F.col("g_table") == F.lit("*"))
+    params = materialize(level.mapInPandas(_drawn(tail, prior), _PARAMS + ", cutoff double"))
     measured = with_params(grouped, params).withColumn("distance", _distance([F.col(f"x{i}") for i in range(D)]))
     stats = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    measured = measured.select(*stats, F.round("distance", 6).alias("distance"), ((F.col("n") < min_group) | (F.col("distance") <= F.col("cutoff"))).alias("kept"))
+    measured = measured.select(*stats, F.round("distance", 6).alias("distance"), (F.col("distance") <= F.col("cutoff")).alias("kept"))
     rest = narrow.filter("base_failed").select(*stats, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return measured.unionByName(rest)
