@@ -19,12 +19,12 @@ whatever the partitioning. Group parameters are one row a group; they are joined
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,73 +88,80 @@ def _measure(piece: pa.RecordBatch) -> pa.RecordBatch:
 
 
 _PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
-_NAMES = ["g", "s", "n", "logdet", *(f"m{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in _PAIRS)]
-_PARAMS = "g string, s int, n long, " + ", ".join(f"{c} double" for c in _NAMES[3:])
+_I, _J = np.array(_PAIRS).T
+_TWICE = np.where(_I == _J, 1.0, 2.0)
+_NAMES = ["g", "s", "n", "logdet", "m", "p"]
+_PARAMS = "g string, s int, n long, logdet double, m array<double>, p array<double>"
+_ARROW = {"g": pa.string(), "s": pa.int32(), "n": pa.int64(), "logdet": pa.float64(), "m": pa.list_(pa.float64()), "p": pa.list_(pa.float64()), "cutoff": pa.float64()}
 #: Least spread of a statistic, in its own unit: a statistic that is constant in a group must not reject by rounding.
 FLOOR = np.array([0.25, 0.05, 0.05, 0.05, 0.05, 0.25, 0.05, 0.05])
 #: Spread that a table without rows would have, in FLOORs.
 WIDE = 8.0
 #: Fixed point of the starts' products.
 UNIT = 1 << 20
+#: Value bins a unit for the medians.
+STEP = 64
+
+
+def _params(g: str, s: int, n: int, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    return g, s, n, float(np.linalg.slogdet(cov)[1]), mean, np.linalg.inv(cov)[_I, _J] * _TWICE
 
 
-def _params(g: str, s: int, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
-    precision = np.linalg.inv(cov)
-    return [g, s, n, float(np.linalg.slogdet(cov)[1]), *mean, *(precision[i, j] * (1 if i == j else 2) for i, j in _PAIRS)]
+def _square(upper: np.ndarray) -> np.ndarray:
+    full = np.zeros((D, D))
+    full[_I, _J] = full[_J, _I] = upper
+    return full
 
 
-def _unpack(row: pd.Series, end: str = "") -> tuple[np.ndarray, np.ndarray]:
-    """(mean, covariance) of a row of parameters."""
-    precision = np.zeros((D, D))
-    for i, j in _PAIRS:
-        precision[i, j] = precision[j, i] = row[f"p{i}_{j}{end}"] / (1 if i == j else 2)
-    return np.array([row[f"m{i}{end}"] for i in range(D)]), np.linalg.inv(precision)
+def _map_rows(df: DataFrame, make: Callable[[dict], list[tuple]], names: list[str], schema: str) -> DataFrame:
+    """mapInArrow over rows of group parameters: make(row) gives the rows that replace it; lists come as arrays."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {}
+            for c in batch.schema.names:
+                col = batch.column(c)
+                if pa.types.is_list(col.type):
+                    flat, ends = col.flatten(), col.offsets.to_numpy() - col.offsets[0].as_py()
+                    if pa.types.is_struct(flat.type):
+                        parts = {f.name: x for f, x in zip(flat.type, flat.flatten())}
+                        values = {k: (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if pa.types.is_list(x.type) and len(x) else x.to_numpy(zero_copy_only=False)) for k, x in parts.items()}
+                        columns[c] = [{k: v[a:z] for k, v in values.items()} for a, z in zip(ends, ends[1:])]
+                    else:
+                        values = flat.to_numpy(zero_copy_only=False)
+                        columns[c] = [values[a:z] for a, z in zip(ends, ends[1:])]
+                else:
+                    columns[c] = col.to_pylist()
+            out = [r for k in range(batch.num_rows) for r in make({c: v[k] for c, v in columns.items()})]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), _ARROW[c]) for x, c in zip(zip(*out), names)], names)
 
-def _starter(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Median and MAD of each statistic of one group, from its value counts."""
-    n = int(pdf.loc[pdf["f"] == 0, "n"].sum())
-    mean, var = np.zeros(D), np.zeros(D)
-    for f, part in pdf.groupby("f"):
-        v, c = part["v"].to_numpy(float), part["n"].to_numpy()
-        order = np.argsort(v)
-        med = v[order][np.searchsorted(np.cumsum(c[order]), n / 2)]
-        dev = np.abs(v - med)
-        order = np.argsort(dev)
-        mad = dev[order][np.searchsorted(np.cumsum(c[order]), n / 2)]
-        mean[f], var[f] = med / STEP, (1.4826 * mad / STEP) ** 2
-    return pd.DataFrame([_params(str(pdf["g"].iloc[0]), 0, n, mean, np.diag(var + FLOOR**2))], columns=_NAMES)
+    return df.mapInArrow(run, schema)
 
 
-def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+def _starts(row: dict) -> list[tuple]:
     """The starts of one group: its median and MAD, and the same with the correlations of its spatial signs and of its
     bounded scores."""
-    out = []
-    for _, row in pdf.iterrows():
-        mean, cov = _unpack(row)
-        spread = np.sqrt(np.diag(cov))
-        out.append(_params(row["g"], 0, row["n"], mean, cov))
-        for s, kind in ((1, "u"), (2, "t")):
-            c = np.zeros((D, D))
-            for i, j in _PAIRS:
-                c[i, j] = c[j, i] = row[f"{kind}{i}_{j}"] / UNIT / row["n"]
-            c += np.eye(D) * 1e-3
-            scale = 1 / np.sqrt(np.diag(c))
-            out.append(_params(row["g"], s, row["n"], mean, c * np.outer(scale, scale) * np.outer(spread, spread)))
-    return pd.DataFrame(out, columns=_NAMES)
-
-
-#: Value bins a unit for the start.
-STEP = 64
+    mean, spread = row["med"] / STEP, np.sqrt((1.4826 * row["mad"] / STEP) ** 2 + FLOOR**2)
+    out = [_params(row["g"], 0, row["n"], mean, np.diag(spread**2))]
+    for s, kind in ((1, "signs"), (2, "scores")):
+        c = _square(row[kind] / UNIT / row["n"]) + np.eye(D) * 1e-3
+        scale = spread / np.sqrt(np.diag(c))
+        out.append(_params(row["g"], s, row["n"], mean, c * np.outer(scale, scale)))
+    return out
+
 
+def _flat(params: DataFrame, *more: str) -> DataFrame:
+    """Parameters with one column a number, which is what generated code reads fastest."""
+    return params.selectExpr("g", "s", "n", *more, *[f"m[{i}] AS m{i}" for i in range(D)], *[f"p[{k}] AS p{i}_{j}" for k, (i, j) in enumerate(_PAIRS)])
 
-def _distance(x: list[Column]) -> Column:
+
+_Z = [f"(x{i} / {FIXED}D - m{i})" for i in range(D)]
+
+
+def _distance() -> Column:
     """Squared Mahalanobis distance of the row to its group's current estimate."""
-    z = [c / F.lit(float(FIXED)) - F.col(f"m{i}") for i, c in enumerate(x)]
-    total = F.lit(0.0)
-    for i, j in _PAIRS:
-        total = total + F.col(f"p{i}_{j}") * z[i] * z[j]
-    return total
+    return F.expr(" + ".join(f"p{i}_{j} * {_Z[i]} * {_Z[j]}" for i, j in _PAIRS))
 
 
 def _bin(d2: Column) -> Column:
@@ -165,20 +172,18 @@ def _bin(d2: Column) -> Column:
 def _concentrate(support: float):
     """One step: the closest `support` share of a group by bins, and its mean and scatter with a consistency factor."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        counts = pdf["n"].to_numpy()
+    def make(row: dict) -> list[tuple]:
+        bins = row["bins"]
+        counts, sums = bins["n"], bins["sums"].astype(float)
         n = int(counts.sum())
         upto = int(np.searchsorted(np.cumsum(counts), math.ceil(support * n))) + 1
-        near = pdf.iloc[:upto]
-        h = int(near["n"].sum())
-        mean = np.array([int(near[f"s{i}"].sum()) for i in range(D)]) / h / FIXED
-        cov = np.zeros((D, D))
-        for i, j in _PAIRS:
-            cov[i, j] = cov[j, i] = int(near[f"q{i}_{j}"].astype(object).sum()) / h / FIXED**2 - mean[i] * mean[j]
-        return pd.DataFrame([_params(str(pdf["g"].iloc[0]), int(pdf["s"].iloc[0]), n, mean, cov * _consistency(h / n) + np.diag(FLOOR**2))], columns=_NAMES)
+        h = int(counts[:upto].sum())
+        total = sums[:upto].sum(0) / h
+        mean = total[:D] / FIXED
+        cov = _square(total[D:] / FIXED**2) - np.outer(mean, mean)
+        return [_params(row["g"], row["s"], n, mean, cov * _consistency(round(h / n, 3)) + np.diag(FLOOR**2))]
 
-    return run
+    return make
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -197,12 +202,13 @@ def _chi2_cdf(x: float, k: int) -> float:
 
 def chi2_quantile(p: float, k: int) -> float:
     lo, hi = 0.0, 1000.0
-    for _ in range(200):
+    for _ in range(64):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _chi2_cdf(mid, k) < p else (lo, mid)
     return hi
 
 
+@functools.lru_cache(maxsize=2048)
 def _consistency(share: float) -> float:
     if share >= 1:
         return 1.0
@@ -211,24 +217,24 @@ def _consistency(share: float) -> float:
 
 
 def mcd(narrow: DataFrame, support: float = 0.75) -> DataFrame:
-    """Parameters per group `g`: n, log determinant, means m*, and precision p*. narrow: g, doc_id, x0..x7 as integers."""
-    x = [F.col(f"x{i}") for i in range(D)]
-    stacked = narrow.select("g", F.posexplode(F.array(*[F.floor(c * STEP / FIXED).cast("long") for c in x])).alias("f", "v"))
-    middle = materialize(stacked.groupBy("g", "f", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("g").applyInPandas(_starter, _PARAMS))
-    z = [(c / F.lit(float(FIXED)) - F.col(f"m{i}")) / F.col(f"d{i}") for i, c in enumerate(x)]
-    spread = middle.select("g", *[F.col(f"m{i}") for i in range(D)], *[(1 / F.sqrt(f"p{i}_{i}")).alias(f"d{i}") for i in range(D)])
-    scored = with_params(narrow, spread).select("g", *[c.alias(f"z{i}") for i, c in enumerate(z)])
-    norm = F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0)), F.lit(1e-9))
-    scored = scored.withColumn("norm", norm).withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(D)})
-    fixed = lambda c: F.sum(F.round(c * UNIT).cast("long"))
-    products = [fixed(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).alias(f"u{i}_{j}") for i, j in _PAIRS] + [fixed(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"t{i}_{j}") for i, j in _PAIRS]
-    active = materialize(middle.join(scored.groupBy("g").agg(*products), "g").groupBy("g").applyInPandas(_starts, _PARAMS))
-
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in _PAIRS]
+    """Parameters per group `g`: n, log determinant, means m, and precision p. narrow: g, doc_id, x0..x7 as integers."""
+    bins = [f"floor(x{i} * {STEP} / {FIXED}) AS b{i}" for i in range(D)]
+    med = materialize(narrow.selectExpr("g", *bins).groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.median(f"b{i}").alias(f"med{i}") for i in range(D)]))
+    mad = materialize(with_params(narrow.selectExpr("g", "doc_id", *bins), med).groupBy("g", "n", *[f"med{i}" for i in range(D)]).agg(*[F.expr(f"median(abs(b{i} - med{i}))").alias(f"mad{i}") for i in range(D)]))
+    z = [f"(x{i} / {FIXED}D - med{i} / {STEP}) / sqrt(pow(mad{i} * {1.4826 / STEP}D, 2) + {FLOOR[i] ** 2}D) AS z{i}" for i in range(D)]
+    scored = with_params(narrow, mad).selectExpr("g", *z).selectExpr("*", f"greatest({' + '.join(f'z{i} * z{i}' for i in range(D))}, 1e-9D) AS norm", *[f"tanh(z{i}) AS t{i}" for i in range(D)])
+    fixed = lambda terms: F.expr("array(" + ", ".join(f"sum(cast(round({t} * {UNIT}) AS bigint))" for t in terms) + ")")
+    moments = scored.groupBy("g").agg(fixed(f"z{i} * z{j} / norm" for i, j in _PAIRS).alias("signs"), fixed(f"t{i} * t{j}" for i, j in _PAIRS).alias("scores"))
+    middle = mad.select("g", "n", F.array(*[f"med{i}" for i in range(D)]).alias("med"), F.array(*[f"mad{i}" for i in range(D)]).alias("mad"))
+    active = materialize(_map_rows(middle.join(moments, "g"), _starts, _NAMES, _PARAMS))
+
+    sums = F.expr("array(" + ", ".join([f"sum(x{i})" for i in range(D)] + [f"sum(x{i} * x{j})" for i, j in _PAIRS]) + ")").alias("sums")
 
     def step(params: DataFrame) -> DataFrame:
-        binned = with_params(narrow, params).withColumn("bin", _bin(_distance(x))).groupBy("g", "s", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        return materialize(binned.groupBy("g", "s").applyInPandas(_concentrate(support), _PARAMS))
+        placed = with_params(narrow, _flat(params)).withColumn("bin", _bin(_distance()))
+        by = placed.groupBy("g", "s", "bin").agg(F.count(F.lit(1)).alias("n"), sums)
+        rows = by.groupBy("g", "s").agg(F.sort_array(F.collect_list(F.struct("bin", "n", "sums"))).alias("bins"))
+        return materialize(_map_rows(rows, _concentrate(support), _NAMES, _PARAMS))
 
     lowest = lambda t: t.groupBy("g").agg(F.min_by(F.struct(*t.columns), F.struct("logdet", "s")).alias("best")).select("best.*")
     best = materialize(lowest(step(step(active))))
@@ -241,7 +247,7 @@ def mcd(narrow: DataFrame, support: float = 0.75) -> DataFrame:
         settled = materialize(new.filter(~falls).select("old.*"))
         done = settled if done is None else done.unionByName(settled)
         active = materialize(new.filter(falls).select(*_NAMES))
-    return (best if done is None else done).drop("s")
+    return best if done is None else done
 
 
 def _law(tail: float) -> np.ndarray:
@@ -257,44 +263,38 @@ def _cut(tail: float):
     """The cutoff of one group from the bins of its distances."""
     ratio, unit, far = _law(tail)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        bins, upto = pdf["bin"].to_numpy(), np.cumsum(pdf["n"].to_numpy())
+    def make(row: dict) -> list[tuple]:
+        bins, upto = row["bins"]["bin"], np.cumsum(row["bins"]["n"])
         low, mid = (2 ** ((bins[np.searchsorted(upto, q * upto[-1])] + 0.5 - 64) / 16) for q in (0.25, 0.5))
         at = np.interp(low / mid, ratio, np.arange(len(ratio)))
         k = np.arange(len(ratio))
         # FLOOR is given and not estimated: within its spread a row is never far, however close its group lies.
-        return pd.DataFrame([(str(pdf["g"].iloc[0]), max(far[0], mid * np.interp(at, k, unit) * np.interp(at, k, far)))], columns=["g", "cutoff"])
+        return [(row["g"], float(max(far[0], mid * np.interp(at, k, unit) * np.interp(at, k, far))))]
 
-    return run
+    return make
 
 
 def with_cutoff(narrow: DataFrame, params: DataFrame, tail: float) -> DataFrame:
     """The parameters with the cutoff of the squared distance of each group."""
-    placed = with_params(narrow, params).select("g", _bin(_distance([F.col(f"x{i}") for i in range(D)])).alias("bin"))
-    cut = placed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("g").applyInPandas(_cut(tail), "g string, cutoff double")
-    return materialize(params.join(cut, "g"))
+    placed = with_params(narrow, _flat(params)).select("g", _bin(_distance()).alias("bin"))
+    by = placed.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    return materialize(params.join(_map_rows(by, _cut(tail), ["g", "cutoff"], "g string, cutoff double"), "g"))
 
 
 def _drawn(tail: float, prior: float):
-    """Parameters of groups, each drawn towards its language's, those towards the table's, and those towards the wide law."""
-    ends = ("_table", "_lang", "")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        far = math.log(chi2_quantile(1 - tail, D))
-        for pdf in batches:
-            rows = []
-            for _, row in pdf.iterrows():
-                mean, cov, cutoff = None, np.diag((WIDE * FLOOR) ** 2), far
-                for end in ends:
-                    w = row[f"n{end}"] / (row[f"n{end}"] + prior)
-                    m, c = _unpack(row, end)
-                    mean = m if mean is None else w * m + (1 - w) * mean
-                    cov, cutoff = w * c + (1 - w) * cov, w * math.log(row[f"cutoff{end}"]) + (1 - w) * cutoff
-                rows.append([*_params(row["g"], 0, row["n"], mean, cov), math.exp(cutoff)])
-            yield pd.DataFrame(rows, columns=[*_NAMES, "cutoff"])
-
-    return run
+    """Parameters of one group, drawn towards its language's, those towards the table's, and those towards the wide law."""
+    far = math.log(chi2_quantile(1 - tail, D))
+
+    def make(row: dict) -> list[tuple]:
+        mean, cov, cutoff = None, np.diag((WIDE * FLOOR) ** 2), far
+        for end in ("_table", "_lang", ""):
+            w = row["n" + end] / (row["n" + end] + prior)
+            m, c = row["m" + end], np.linalg.inv(_square(row["p" + end] / _TWICE))
+            mean = m if mean is None else w * m + (1 - w) * mean
+            cov, cutoff = w * c + (1 - w) * cov, w * math.log(row["cutoff" + end]) + (1 - w) * cutoff
+        return [(*_params(row["g"], 0, row["n"], mean, cov), math.exp(cutoff))]
+
+    return make
 
 
 def with_params(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -328,8 +328,8 @@ def quality_rules(
     raw = with_cutoff(every, mcd(every, support), tail)
     named = lambda end: raw.select(*[F.col(c).alias(c + end) for c in raw.columns])
     level = raw.join(grouped.select("g", "g1").distinct(), "g").join(named("_lang"), F.col("g1") == F.col("g_lang")).join(named("_table").filter("g_table = '*'"), F.col("g_table") == F.lit("*"))
-    params = materialize(level.mapInPandas(_drawn(tail, prior), _PARAMS + ", cutoff double"))
-    measured = with_params(grouped, params).withColumn("distance", _distance([F.col(f"x{i}") for i in range(D)]))
+    params = materialize(_map_rows(level, _drawn(tail, prior), [*_NAMES, "cutoff"], _PARAMS + ", cutoff double"))
+    measured = with_params(grouped, _flat(params, "cutoff")).withColumn("distance", _distance())
     stats = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     measured = measured.select(*stats, F.round("distance", 6).alias("distance"), (F.col("distance") <= F.col("cutoff")).alias("kept"))
     rest = narrow.filter("base_failed").select(*stats, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
