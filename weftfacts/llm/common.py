@@ -111,4 +111,4 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """rows whose key is not in `gone`. Only rows that may be in it are moved; the others stay where they were read."""
     maybe = bloom(gone, F.col(key))
     test = maybe(F.col(key))
-    return rows.filter(~test).unionByName(rows.filter(test).join(gone.select(key), key, "left_anti").select(*rows.columns))
+    return rows.filter(~test).unionByName(rows.filter(test).join(gone.select(key), key, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns]))
