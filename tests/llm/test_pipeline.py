@@ -9,7 +9,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from weftfacts.llm.mixing import mix  # noqa: E402
 from weftfacts.llm.piece_sampling import decode  # noqa: E402
 from weftfacts.llm.quality_rules import text_stats  # noqa: E402
-from weftfacts.llm.queries import TOKENIZERS  # noqa: E402
+from weftfacts.llm.queries import PIECE_BPE  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,6 +26,8 @@ def docs(spark, tmp_path_factory):
     for i in range(20):
         texts.append("tail " + texts[i])  # near copies
     texts += [None, "", "too short", "same three words " * 60]
+    # Symbols behind every word: the base rules pass it, the distance from its group rejects it.
+    texts.append("\n".join(" ".join(w + "#$%&" for w in line.split()) for line in texts[30].split("\n")))
     rows = [(i, t, ["en", "de", None][i % 3], "hot" if i % 2 else "cold", len(t or "")) for i, t in enumerate(texts)] + [(3, texts[3], "en", "hot", 5)]
     path = str(tmp_path_factory.mktemp("sf") / "documents.parquet")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(path)
@@ -44,7 +46,8 @@ def test_stages(spark, docs):
     # Quality rules: what fails a base rule is gone, the rest of these texts is clean and stays.
     q = {r["doc_id"] for r in seen[0][2].collect()}
     bad = {i for i, r in before.items() if (s := text_stats((r["text"] or "").encode()))[0] < 50 or 100 * s[4] > 50 * s[0]}
-    assert q == set(before) - bad
+    odd = max(before)
+    assert odd not in bad and q == set(before) - bad - {odd}
     # Line dedup: the shared line stays in its last document only, and no other line goes but repeated ones.
     lines = seen[1][2].collect()
     assert len(lines) == seen[1][1].count()
@@ -56,12 +59,12 @@ def test_stages(spark, docs):
     assert len(kept) == len(set(kept)) and set(range(20, 150)) <= set(kept)
     assert all(k in kept for k in range(20))
     # Mixing: just the rows that mix() keeps.
-    want = sorted(r["doc_id"] for r in mix(seen[2][2], budget=corpus_pipeline.BUDGET).collect() if r["kept"])
+    want = sorted(r["doc_id"] for r in mix(seen[2][2], budget=corpus_pipeline.BUDGET, powers=corpus_pipeline.POWERS).collect() if r["kept"])
     assert sorted(r["doc_id"] for r in seen[3][2].collect()) == want and 0 < len(want) < len(kept)
     # Encoding: lossless.
     final = seen[4][2]
     assert all(r["lossless"] for r in final.collect())
-    texts = {r["doc_id"]: r["text"] for r in decode(final, f"{TOKENIZERS}/piece_bpe_32k.model").collect()}
+    texts = {r["doc_id"]: r["text"] for r in decode(final, PIECE_BPE).collect()}
     assert texts == {r["doc_id"]: r["text"] for r in seen[3][2].collect()}
 
 
@@ -82,6 +85,16 @@ def test_verdicts_are_of_rows_and_not_of_ids(spark):
     assert got.columns == COLUMNS and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_other_columns_ride_along(spark):
+    rng = random.Random(10)
+    texts = [" ".join("".join(rng.choices("abcdefgo", k=rng.randint(2, 8))) for _ in range(120)) for _ in range(6)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, [i], {"k": i}, "r") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, drops array<long>, `a.b` map<string,long>, _row string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns
+        assert all(r["drops"] == [r["doc_id"]] and r["a.b"] == {"k": r["doc_id"]} for r in out.collect()), name
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

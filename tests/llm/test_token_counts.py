@@ -53,5 +53,15 @@ def test_operator_on_odd_rows_and_huge_documents(spark, texts):
 def test_single_pretokens_by_plain_merging():
     c, rng = counter(PATH), np.random.default_rng(0)
     for _ in range(300):
-        data = bytes(rng.integers(97, 123, rng.integers(1, 20)))
+        data = bytes(rng.integers(97, 123, rng.integers(1, 20)).tolist())
         assert c.word(data.decode()) == len(c.bpe(data))
+
+
+def test_states_of_one_long_pretoken_are_bounded(monkeypatch):
+    from weftfacts.llm import token_counts as tc
+
+    rng = random.Random(4)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    monkeypatch.setattr(tc, "MEMO", 500)
+    c = tc.Counter(PATH)
+    assert c.word(word) == library([word])[0] and len(c.states) <= 502 and word not in c.memo

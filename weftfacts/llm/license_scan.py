@@ -94,7 +94,11 @@ def scan(text: bytes) -> tuple:
     base_labels = {label for _, label in base}
     labels = base_labels | {d[2] for d in found}
     score = max([SURE[2] if base else 0.0, *(SURE[d[3]] for d in found)])
-    spans = [{"first_word": string.count(" ", 0, a) - 1, "n_words": string.count(" ", a, z) + 1, "label": label, "priority": p} for a, z, label, p in found]
+    before, upto = [], 0
+    for a, *_ in found:  # in order, so each counts on from the last
+        before.append((before[-1] if before else 0) + string.count(" ", upto, a))
+        upto = a
+    spans = [{"first_word": n - 1, "n_words": string.count(" ", a, z) + 1, "label": label, "priority": p} for n, (a, z, label, p) in zip(before, found)]
     return len(words), len(base), min((w for w, _ in base), default=None), max((w for w, _ in base), default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, spans
 
 

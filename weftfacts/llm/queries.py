@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
@@ -16,9 +17,9 @@ from .simhash import near_duplicates
 from .token_counts import token_counts
 
 #: Where the vocabulary files are, on every executor.
-TOKENIZERS = "/opt/tokenizers"
-#: Keys the surrogates; a deployment passes its own secret to surrogates().
-PII_KEY = b"weftfacts surrogate key"
+BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+#: Session setting with the secret that keys the surrogates, and the key of sessions without it, which is no secret.
+PII_SETTING, PII_KEY = "spark.weftfacts.pii.key", "weftfacts surrogate key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +47,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return encode(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(table(spark, sf_dir, "documents"), PII_KEY)
+    return surrogates(table(spark, sf_dir, "documents"), spark.conf.get(PII_SETTING, PII_KEY).encode())
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ from .common import doc_text, slices
 HUGE, CUT = 32 << 20, 4 << 20
 #: Cached pre-tokens a worker keeps; above it the cache starts anew, which changes no result.
 MEMO = 1 << 20
+#: Longest pre-token whose count is kept.
+MEMO_CHARS = 64
 
 # Character classes; the letters that contractions need have their own.
 _LETTER, _NUM, _SPACE, _WS, _APOS, _OTHER, _SEP = range(7)
@@ -270,10 +272,21 @@ class Counter:
         state = count = 0
         go = self.go
         for b in word.encode():
-            step = go.get(state | b) or self._compile(state | b)
+            step = go.get(state | b)
+            if step is None:
+                if len(self.states) > MEMO:
+                    # One long pre-token may need more states than fit: all but its own are forgotten.
+                    own = self.states[state >> 8]
+                    self.reset()
+                    if own not in self.number:
+                        self.number[own] = len(self.states)
+                        self.states.append(own)
+                    state, go = self.number[own] << 8, self.go
+                step = self._compile(state | b)
             state = step[0]
             count += step[1]
-        self.memo[word] = count
+        if len(word) <= MEMO_CHARS:
+            self.memo[word] = count
         return count
 
     def words(self, words: list[str]) -> np.ndarray:
