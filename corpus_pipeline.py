@@ -10,55 +10,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftfacts.llm.common import without
 from weftfacts.llm.line_dedup import line_dedup
 from weftfacts.llm.mixing import sample
 from weftfacts.llm.piece_sampling import encode
 from weftfacts.llm.quality_rules import quality_rules
-from weftfacts.llm.queries import TOKENIZERS
+from weftfacts.llm.queries import PIECE_BPE
 from weftfacts.llm.simhash import near_duplicates
 from weftfacts.session import materialize
 
-#: Share of the tokens the mixture keeps.
-BUDGET = 0.8
+#: The most of all tokens that the mixture keeps, and its targets: observed shares to these powers. They are gentle, so
+#: that few documents have to go for the targets to hold.
+BUDGET, POWERS = 0.8, {"source": 0.8, "lang": 0.85, "topic": 0.85}
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of each row, written, so that every reader sees the same numbers."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs with a number of each row, written, so that every reader sees the same numbers; the number's column)."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def _kept(docs: DataFrame, rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return without(rows, gone, key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows that a base rule or their Mahalanobis distance rejects, each by its own verdict."""
-    rows = _numbered(docs)
-    gone = materialize(quality_rules(rows, id_col="_row").filter(~F.col("kept")).select(F.col("doc_id").alias("_row")))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    rows, key = _numbered(docs)
+    gone = materialize(quality_rules(rows, id_col=key).filter(~F.col("kept")).select(F.col("doc_id").alias(key)))
+    return _kept(docs, rows, gone, key)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that three or more documents share, but for their last document; n_chars follows the text."""
-    out = line_dedup(docs, carry=("lang", "source"))
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    out = line_dedup(docs, carry=tuple(docs.columns))
+    new = {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
+    return out.select(*[new.get(c, F.col(f"carried.`{c}`").alias(c)) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: one with the smallest doc_id, or where the whole group has none, any one."""
-    rows = _numbered(docs)
-    group = near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    rows, key = _numbered(docs)
+    group = materialize(near_duplicates(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id"))
     # Rows without a doc_id come last; the smallest of a struct takes its fields in turn.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    first = rows.select("_row", "doc_id").join(group, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    stays = materialize(first.select(F.col("first.row").alias("_row")))
-    return rows.join(stays.hint("merge"), "_row", "left_semi").select(docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    first = rows.select(key, "doc_id").join(group, key).groupBy("component_id").agg(F.min(order).alias("first"))
+    gone = materialize(group.select(key).join(first.select(F.col("first.row").alias(key)), key, "left_anti"))
+    return _kept(docs, rows, gone, key)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample that brings sources, languages and topics to their target weights."""
-    return sample(docs, budget=BUDGET)
+    return sample(docs, budget=BUDGET, powers=POWERS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, n_bytes, lossless of every document left."""
-    return encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return encode(docs, PIECE_BPE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
