@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, bloom, doc_text, map_text, materialize, replicated, salt, text_bytes
 
@@ -121,6 +122,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = whole.filter(~touched).select("doc_id", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if with_text else F.lit(None).cast("string")).alias("kept_text"), *extra)
     some = whole.filter(touched)
     joined = some.join(drops, some["doc_id"].eqNullSafe(drops["doc_id"]) & (some["th"] == drops["th"]), "left").select(some["doc_id"], *extra, "text", "drops")
-    kinds = "".join(f"carried {f.dataType.simpleString()}, " for f in whole.schema.fields if f.name == "carried")
-    out = joined.mapInArrow(_rebuild(min_chars, with_text), "doc_id long, " + kinds + "n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    schema = T.StructType([f for f in whole.schema.fields if f.name in ("doc_id", "carried")]).add("n_lines", T.LongType()).add("n_dropped", T.LongType()).add("kept_sha256", T.StringType()).add("kept_text", T.StringType())
+    out = joined.mapInArrow(_rebuild(min_chars, with_text), schema)
     return same.select(*result).unionByName(out.select(*result))
