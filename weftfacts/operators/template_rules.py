@@ -1,12 +1,12 @@
-"""Rules over element facts. All row-local rules are one expression: an array of findings per element, exploded once, so any
-number of rules costs one scan. Rules that look at neighbours use one window over (file, element order)."""
+"""Rules over element facts. All are one expression: an array of findings per element, exploded once, so any number of rules
+costs one scan and no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.markup import attribute, directive, has, listens
+from ..sources.components import attribute, directive, has, listens
 
 LINKS = ("a", "RouterLink", "router-link", "NuxtLink", "nuxt-link")
 
@@ -25,12 +25,17 @@ def _blank(name: str) -> Column:
 
 
 def _bare(name: str) -> Column:
-    return F.exists("directives", lambda d: (d["name"] == name) & d["argument"].isNull() & (F.trim(F.coalesce(d["expression"], F.lit(""))) == ""))
+    return F.array_contains("bare_names", name)
 
 
 def _content_directive(name: str) -> Column:
     d = directive(name)
-    return d.isNotNull() & ((F.trim(F.coalesce(d["expression"], F.lit(""))) == "") | d["argument"].isNotNull() | (F.size(d["modifiers"]) > 0) | ~F.col("empty"))
+    return d.isNotNull() & ((F.trim(F.coalesce(d["expression"], F.lit(""))) == "") | d["argument"].isNotNull() | (F.size(d["modifiers"]) > 0) | F.col("has_children"))
+
+
+def _unnamed() -> Column:
+    """No content that a reader could tell, and no name from its attributes or from a component around it."""
+    return ~F.col("has_accessible_content") & ~F.col("has_accessible_name_ancestor") & ~_named()
 
 
 def _focusable() -> Column:
@@ -56,15 +61,18 @@ def rules() -> dict[str, tuple[str, Column]]:
     tab = F.trim(attribute("tabindex")["value"]).try_cast("int")
     component = F.col("tag").rlike("^[A-Z]") | F.col("tag").contains("-")
     repeated, bound = F.size("attribute_names") > F.size(F.array_distinct("attribute_names")), "bound_names"
-    empty = F.col("empty")
+    children, content = F.col("has_children"), html.isNotNull() | text.isNotNull()
+    else_if = F.trim(directive("else-if")["expression"])
+    typed = F.lower(F.coalesce(attribute("type")["value"], F.lit("text")))
+    control = _tag().isin("textarea", "select", "meter", "output", "progress") | ((_tag() == "input") & ~typed.isin("hidden", "button", "submit", "reset", "image"))
     out: dict[str, tuple[str, Column]] = {
-        "accessibility/anchor-has-content": ("warning", F.col("tag").isin(*LINKS) & empty & ~_named()),
-        "accessibility/button-has-content": ("warning", (_tag() == "button") & empty & ~_named()),
-        "accessibility/heading-has-content": ("warning", _tag().rlike("^h[1-6]$") & empty & ~_named()),
+        "accessibility/anchor-has-content": ("warning", F.col("tag").isin(*LINKS) & _unnamed()),
+        "accessibility/button-has-content": ("warning", (_tag() == "button") & _unnamed()),
+        "accessibility/heading-has-content": ("warning", _tag().rlike("^h[1-6]$") & _unnamed()),
         "accessibility/click-events-have-key-events": ("warning", _tag().isin("div", "span", "p", "section", "article", "li") & listens("click") & ~listens("keydown", "keyup", "keypress")),
         "accessibility/iframe-has-title": ("warning", (_tag() == "iframe") & ~has("title")),
         "accessibility/img-has-alt": ("warning", (_tag() == "img") & ~has("alt")),
-        "accessibility/no-aria-hidden-on-focusable": ("error", _focusable() & ((F.lower(attribute("aria-hidden")["value"]) == "true") | F.exists("directives", lambda d: (d["name"] == "bind") & (d["argument"] == "aria-hidden") & (d["expression"] == "true")))),
+        "accessibility/no-aria-hidden-on-focusable": ("error", _focusable() & ((F.lower(attribute("aria-hidden")["value"]) == "true") | (F.array_contains("bound_names", "aria-hidden") & F.exists("directives", lambda d: (d["name"] == "bind") & (F.lower(d["argument"]) == "aria-hidden") & (F.trim(d["expression"]) == "true"))))),
         "accessibility/no-autofocus": ("warning", attribute("autofocus").isNotNull()),
         "accessibility/no-distracting-elements": ("warning", _tag().isin("blink", "marquee")),
         "accessibility/no-positive-tabindex": ("warning", tab > 0),
@@ -76,48 +84,80 @@ def rules() -> dict[str, tuple[str, Column]]:
         "correctness/valid-v-slot": ("error", directive("slot").isNotNull() & loop.isNotNull()),
         "correctness/valid-v-html": ("error", _content_directive("html")),
         "correctness/valid-v-text": ("error", _content_directive("text")),
-        "correctness/no-child-content": ("warning", ~empty & (html.isNotNull() | text.isNotNull())),
-        "correctness/no-textarea-mustache": ("error", (_tag() == "textarea") & directive("model").isNull() & ~empty),
+        "correctness/no-child-content": ("warning", children & content),
+        "correctness/no-textarea-mustache": ("error", (_tag() == "textarea") & directive("model").isNull() & (children | F.col("has_accessible_content"))),
         "correctness/no-template-key": ("warning", (_tag() == "template") & loop.isNull() & has("key")),
         "correctness/no-duplicate-attributes": ("error", repeated | (F.size(bound) > F.size(F.array_distinct(bound)))),
-        "correctness/no-deprecated-v-bind-sync": ("error", F.exists("directives", lambda d: F.array_contains(d["modifiers"], "sync"))),
+        "correctness/no-deprecated-v-bind-sync": ("error", F.array_contains("modifier_names", "sync")),
         "correctness/no-deprecated-slot-attribute": ("warning", attribute("slot").isNotNull()),
         "correctness/no-deprecated-slot-scope": ("error", attribute("slot-scope").isNotNull() | ((_tag() == "template") & attribute("scope").isNotNull())),
-        "correctness/no-deprecated-v-on-native-modifier": ("error", F.exists("directives", lambda d: (d["name"] == "on") & F.array_contains(d["modifiers"], "native"))),
-        "correctness/no-v-text-v-html-on-component": ("warning", component & (html.isNotNull() | text.isNotNull())),
+        "correctness/no-deprecated-v-on-native-modifier": ("error", F.array_contains("event_modifiers", "native")),
+        "correctness/no-v-text-v-html-on-component": ("warning", component & content),
         "correctness/no-v-if-with-v-for": ("warning", loop.isNotNull() & directive("if").isNotNull()),
         "correctness/require-component-is": ("error", (_tag() == "component") & ~has("is")),
         "correctness/require-v-for-key": ("error", loop.isNotNull() & ~has("key")),
         "security/no-v-html": ("warning", html.isNotNull()),
+        "accessibility/label-has-for": ("warning", (_tag() == "label") & ~has("for") & ~F.col("has_labelable_descendant")),
+        "accessibility/form-control-has-label": ("warning", control & ~F.col("has_label_ancestor") & ~_named() & ~F.col("labelled")),
+        "correctness/no-dupe-v-else-if": ("warning", (else_if != "") & (else_if == F.col("else_before"))),
+        "correctness/require-toggle-inside-transition": ("warning", (_tag() == "transition") & children & (F.col("next_toggles") == F.lit(False))),
     }
     for name in ("if", "else-if", "show", "model", "for", "memo"):
         out[f"correctness/valid-v-{name}"] = ("error", _blank(name))
     return out
 
 
-#: Severity of the rules that look at neighbouring elements.
-NEIGHBOUR_RULES = {"correctness/no-dupe-v-else-if": "warning", "correctness/require-toggle-inside-transition": "warning", "accessibility/form-control-has-label": "warning"}
+#: A pipe with blanks around it, a filter's name behind it, and then the end, another pipe or an argument list.
+FILTER = r"(?<![|]) +[|] +[A-Za-z_$][A-Za-z0-9_$]* *($|[|(])"
 
 
-def lint_elements(elements: DataFrame) -> DataFrame:
-    """(file_id, el_ix, rule_id, severity) of every row-local rule, by one scan and one explode."""
-    found = F.filter(F.array(*[F.when(F.coalesce(fires, F.lit(False)), F.struct(F.lit(r).alias("rule_id"), F.lit(sev).alias("severity"))) for r, (sev, fires) in rules().items()]), lambda x: x.isNotNull())
-    return elements.select("file_id", "el_ix", F.explode(found).alias("r")).select("file_id", "el_ix", "r.rule_id", "r.severity")
+def _repeats() -> dict[str, Column]:
+    """Rules that report each of several places in an element: how many findings an element gives."""
+    twice = F.size("attribute_names") - F.size(F.array_distinct("attribute_names")) + F.size("bound_names") - F.size(F.array_distinct("bound_names"))
+    both = F.array_contains("directive_names", "html").cast("int") + F.array_contains("directive_names", "text").cast("int")
+    filters = F.when(F.array_join("expression_texts", " ").contains(" | "), F.size(F.filter("expression_texts", lambda x: x.rlike(FILTER)))).otherwise(F.lit(0))
+    return {"correctness/no-duplicate-attributes": twice, "correctness/no-child-content": both, "correctness/no-v-text-v-html-on-component": both, "correctness/no-deprecated-filter": filters}
 
 
-def lint_neighbours(elements: DataFrame) -> DataFrame:
-    """Rules on the element before or after, and labels looked up in the same file. One shuffle on file_id serves all."""
-    w = Window.partitionBy("file_id").orderBy("el_ix")
-    other = F.trim(directive("else-if")["expression"])
-    toggled = directive("if").isNotNull() | directive("show").isNotNull() | has("is")
-    near = elements.withColumns({"_else": other, "_before": F.lag(other).over(w), "_next": F.lead(F.coalesce(toggled, F.lit(False))).over(w), "_for": F.collect_set(F.when(_tag() == "label", attribute("for")["value"])).over(Window.partitionBy("file_id"))})
-    typed = F.lower(F.coalesce(attribute("type")["value"], F.lit("text")))
-    control = _tag().isin("textarea", "select", "meter", "output", "progress") | ((_tag() == "input") & ~typed.isin("hidden", "button", "submit", "reset", "image"))
-    labelled = F.array_contains("_for", F.coalesce(attribute("id")["value"], F.lit("")))
-    checks = [
-        ("correctness/no-dupe-v-else-if", (F.col("_else") != "") & (F.col("_else") == F.col("_before"))),
-        ("correctness/require-toggle-inside-transition", (_tag() == "transition") & ~F.col("empty") & (F.col("_next") == F.lit(False))),
-        ("accessibility/form-control-has-label", control & ~_named() & ~labelled),
-    ]
-    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule_id"), F.lit(NEIGHBOUR_RULES[r]).alias("severity"))) for r, c in checks]), lambda x: x.isNotNull())
-    return near.select("file_id", "el_ix", F.explode(found).alias("r")).select("file_id", "el_ix", "r.rule_id", "r.severity")
+def lint_elements(elements: DataFrame) -> DataFrame:
+    """(file_id, el_ix, rule_id, severity, offset, line) of every rule, by one scan and one explode. The place is the element's."""
+    many = _repeats()
+    every = rules() | {"correctness/no-deprecated-filter": ("error", many["correctness/no-deprecated-filter"] > 0)}
+    found = F.array_compact(F.array(*[F.when(fires, F.struct(F.lit(r).alias("rule_id"), F.lit(sev).alias("severity"), many.get(r, F.lit(1)).cast("int").alias("n"))) for r, (sev, fires) in every.items()]))
+    hit = elements.select("file_id", "el_ix", "offset", "line", F.explode(found).alias("r"))
+    return hit.select("file_id", "el_ix", "r.rule_id", "r.severity", "offset", "line", F.explode(F.sequence(F.lit(1), "r.n")).alias("k")).drop("k")
+
+
+_ERRORS = (
+    "accessibility/no-aria-hidden-on-focusable correctness/no-deprecated-filter correctness/no-deprecated-slot-scope correctness/no-deprecated-v-bind-sync correctness/no-deprecated-v-on-native-modifier "
+    "correctness/no-duplicate-attributes correctness/no-textarea-mustache correctness/require-component-is correctness/require-v-for-key correctness/valid-v-bind correctness/valid-v-else correctness/valid- "
+    "v-else-if correctness/valid-v-for correctness/valid-v-html correctness/valid-v-if correctness/valid-v-memo correctness/valid-v-model correctness/valid-v-on correctness/valid-v-show correctness/valid- "
+    "v-slot correctness/valid-v-text "
+).split()
+_WARNINGS = (
+    "accessibility/anchor-has-content accessibility/button-has-content accessibility/click-events-have-key-events accessibility/form-control-has-label accessibility/heading-has-content "
+    "accessibility/iframe-has-title accessibility/img-has-alt accessibility/label-has-for accessibility/no-autofocus accessibility/no-distracting-elements accessibility/no-positive-tabindex "
+    "accessibility/valid-aria-role correctness/no-child-content correctness/no-deprecated-slot-attribute correctness/no-dupe-v-else-if correctness/no-template-key correctness/no-v-if-with-v-for "
+    "correctness/no-v-text-v-html-on-component correctness/require-toggle-inside-transition maintainability/no-redundant-role security/no-v-html "
+).split()
+_SEVERITY = dict.fromkeys(_ERRORS, "error") | dict.fromkeys(_WARNINGS, "warning")
+
+
+_ERRORS = (
+    "accessibility/no-aria-hidden-on-focusable correctness/no-deprecated-filter correctness/no-deprecated-slot-scope correctness/no-deprecated-v-bind-sync correctness/no-deprecated-v-on-native-modifier "
+    "correctness/no-duplicate-attributes correctness/no-textarea-mustache correctness/require-component-is correctness/require-v-for-key correctness/valid-v-bind correctness/valid-v-else "
+    "correctness/valid-v-else-if correctness/valid-v-for correctness/valid-v-html correctness/valid-v-if correctness/valid-v-memo correctness/valid-v-model correctness/valid-v-on correctness/valid-v-show "
+    "correctness/valid-v-slot correctness/valid-v-text "
+).split()
+_WARNINGS = (
+    "accessibility/anchor-has-content accessibility/button-has-content accessibility/click-events-have-key-events accessibility/form-control-has-label accessibility/heading-has-content "
+    "accessibility/iframe-has-title accessibility/img-has-alt accessibility/label-has-for accessibility/no-autofocus accessibility/no-distracting-elements accessibility/no-positive-tabindex "
+    "accessibility/valid-aria-role correctness/no-child-content correctness/no-deprecated-slot-attribute correctness/no-dupe-v-else-if correctness/no-template-key correctness/no-v-if-with-v-for "
+    "correctness/no-v-text-v-html-on-component correctness/require-toggle-inside-transition maintainability/no-redundant-role security/no-v-html "
+).split()
+_SEVERITY = dict.fromkeys(_ERRORS, "error") | dict.fromkeys(_WARNINGS, "warning")
+
+
+def severities() -> dict[str, str]:
+    """Severity of every template rule; needs no session."""
+    return _SEVERITY

@@ -1,59 +1,24 @@
 """The registered queries over the given tables, each with SQL that states the expected rows independently.
 
-No table holds component source, so markup is derived: part rows choose, for every rule, a snippet that breaks it or one that
-keeps it. The Spark side tokenizes and lints the text; the SQL side knows only which rows chose the breaking snippet.
+No table holds component source, so markup and scripts are derived: part rows choose, for every rule, a snippet that breaks
+it or one that keeps it (weftfacts.plans.cases). The Spark side parses and lints the text; the SQL side knows only which rows
+chose the breaking snippet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, policy, script_rules
-from ..operators.template_rules import lint_elements, lint_neighbours
-from ..sources.markup import elements
-
-#: rule, severity, a snippet that breaks just this rule, one that breaks none.
-CASES: list[tuple[str, str, str, str]] = [
-    ("accessibility/anchor-has-content", "warning", '<a href="/x"></a>', '<a href="/x">to x</a>'),
-    ("accessibility/button-has-content", "warning", "<button></button>", '<button aria-label="go"></button>'),
-    ("accessibility/heading-has-content", "warning", "<h2> </h2>", "<h2>Title</h2>"),
-    ("accessibility/click-events-have-key-events", "warning", '<div @click="go">x</div>', '<div @click="go" @keyup.enter="go">x</div>'),
-    ("accessibility/form-control-has-label", "warning", '<input id="a1" type="text">', '<label for="a2">n</label><input id="a2">'),
-    ("accessibility/iframe-has-title", "warning", '<iframe src="/f"></iframe>', '<iframe src="/f" :title="t"></iframe>'),
-    ("accessibility/img-has-alt", "warning", '<img src="p.png">', '<img src="p.png" alt="">'),
-    ("accessibility/no-aria-hidden-on-focusable", "error", '<button aria-hidden="TRUE">x</button>', '<button aria-hidden="false">x</button>'),
-    ("accessibility/no-autofocus", "warning", "<p autofocus>x</p>", "<p>x</p>"),
-    ("accessibility/no-distracting-elements", "warning", "<marquee>x</marquee>", "<em>x</em>"),
-    ("accessibility/no-positive-tabindex", "warning", '<p tabindex=" 3 ">x</p>', '<p tabindex="0">x</p>'),
-    ("accessibility/valid-aria-role", "warning", '<p role="nonsense">x</p>', '<p role="nonsense Note">x</p>'),
-    ("maintainability/no-redundant-role", "warning", '<nav role="navigation">x</nav>', '<nav role="search">x</nav>'),
-    ("correctness/valid-v-if", "error", "<p v-if>x</p>", '<p v-if="a">x</p>'),
-    ("correctness/valid-v-else-if", "error", '<p v-else-if=" ">x</p>', '<p v-else-if="a">x</p>'),
-    ("correctness/valid-v-show", "error", "<p v-show>x</p>", '<p v-show="a">x</p>'),
-    ("correctness/valid-v-model", "error", '<i v-model="">x</i>', '<i v-model="m">x</i>'),
-    ("correctness/valid-v-for", "error", '<p v-for :key="k">x</p>', '<p v-for="k in ks" :key="k">x</p>'),
-    ("correctness/valid-v-memo", "error", "<p v-memo>x</p>", '<p v-memo="[a]">x</p>'),
-    ("correctness/valid-v-on", "error", "<p v-on>x</p>", '<p v-on="all">x</p>'),
-    ("correctness/valid-v-bind", "error", "<p v-bind>x</p>", '<p v-bind="all">x</p>'),
-    ("correctness/valid-v-else", "error", '<p v-else="a">x</p>', "<p v-else>x</p>"),
-    ("correctness/valid-v-slot", "error", '<p #head v-for="k in ks" :key="k">x</p>', "<p #head>x</p>"),
-    ("correctness/no-textarea-mustache", "error", '<textarea aria-label="t">{{ x }}</textarea>', '<textarea aria-label="t" v-model="x"></textarea>'),
-    ("correctness/no-template-key", "warning", '<template :key="k">x</template>', '<template v-for="k in ks" :key="k">x</template>'),
-    ("correctness/no-duplicate-attributes", "error", '<p id="a" ID="b">x</p>', '<p id="a" :id="b">x</p>'),
-    ("correctness/no-deprecated-v-bind-sync", "error", '<p :open.sync="o">x</p>', '<p :open="o">x</p>'),
-    ("correctness/no-deprecated-slot-attribute", "warning", '<p slot="s">x</p>', "<p>x</p>"),
-    ("correctness/no-deprecated-slot-scope", "error", '<template scope="s">x</template>', "<template>x</template>"),
-    ("correctness/no-deprecated-v-on-native-modifier", "error", '<b @input.native="f">x</b>', '<b @input="f">x</b>'),
-    ("correctness/no-dupe-v-else-if", "warning", '<p v-else-if="dup">x</p><p v-else-if=" dup ">x</p>', '<p v-else-if="one">x</p><p v-else-if="two">x</p>'),
-    ("correctness/require-toggle-inside-transition", "warning", "<transition><p>x</p></transition>", '<transition><p v-show="s">x</p></transition>'),
-    ("correctness/no-v-if-with-v-for", "warning", '<p v-for="k in ks" :key="k" v-if="a">x</p>', '<p v-for="k in ks" key="k">x</p>'),
-    ("correctness/require-component-is", "error", "<component>x</component>", '<component :is="c">x</component>'),
-    ("correctness/require-v-for-key", "error", '<p v-for="k in ks">x</p>', '<p v-for="k in ks" :key="k">x</p>'),
-    ("security/no-v-html", "warning", '<p v-html="h"></p>', '<p v-text="h"></p>'),
-]
+from ..operators import edits, exports, graph, policy, project, script_rules
+from ..operators.block_rules import PRACTICE, RULES, lint_blocks
+from ..operators.template_rules import lint_elements, severities
+from ..sources import components, workspace
+from ..streaming import incremental
+from . import reports
+from .cases import MARKUP, SCRIPTS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,17 +30,32 @@ def _breaks(i: int) -> str:
 
 
 def markup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, source) derived from part."""
-    pieces = [F.when(F.expr(_breaks(i)), F.lit(bad)).otherwise(F.lit(good)) for i, (_, _, bad, good) in enumerate(CASES)]
+    """(file_id, source) derived from part: every file holds one form of every snippet."""
+    pieces = [F.when(F.expr(_breaks(i)), F.lit(bad)).otherwise(F.lit(good)) for i, (_, bad, good) in enumerate(MARKUP)]
     return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("file_id"), F.concat_ws("\n<hr>\n", *pieces).alias("source"))
 
 
+_CASE, _BAD = f"p_partkey % {len(SCRIPTS)}", f"(p_partkey // {len(SCRIPTS)}) % 2 = 0"
+
+
+def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, source, vue_version) derived from part: every file is one form of one component."""
+    texts = F.array(*[F.array(F.lit(bad), F.lit(good)) for _, bad, good, _ in SCRIPTS])
+    minor = F.array(*[F.lit(v).cast("long") for *_, v in SCRIPTS])
+    case = F.pmod(F.col("p_partkey"), F.lit(len(SCRIPTS))).cast("int")
+    form = F.when(F.expr(_BAD.replace("//", "div")), F.lit(0)).otherwise(F.lit(1))
+    version = F.struct(F.lit(3).cast("long").alias("major"), F.get(minor, case).alias("minor"), F.lit(0).cast("long").alias("patch"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("file_id"), F.get(F.get(texts, case), form).alias("source"), version.alias("vue_version"))
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = elements(markup_files(spark, sf_dir))
-    return lint_elements(e).unionByName(lint_neighbours(e))
+    facts = components.facts(markup_files(spark, sf_dir), kind="markup")
+    return lint_elements(components.elements(facts)).select("file_id", "rule_id", "severity")
 
 
-_EXPECTED = "expected AS (" + "\n UNION ALL ".join(f"SELECT p_partkey::BIGINT AS file_id, '{r}' AS rule_id, '{sev}' AS severity FROM part WHERE {_breaks(i)}" for i, (r, sev, _, _) in enumerate(CASES)) + ")"
+_SEVERITY = severities() | {r: s for r, (s, _) in (RULES | PRACTICE).items()}
+_EXPECTED = "expected AS (" + "\n UNION ALL ".join(f"SELECT p_partkey::BIGINT AS file_id, '{r}' AS rule_id, '{_SEVERITY[r]}' AS severity FROM part WHERE {_breaks(i)}" for i, (rules, _, _) in enumerate(MARKUP) for r in rules.split()) + ")"
+_SCRIPT_CASES = "cases(k, rule_id, severity) AS (VALUES " + ", ".join(f"({i}, '{r}', '{_SEVERITY[r]}')" for i, (rules, *_) in enumerate(SCRIPTS) for r in rules.split()) + f"), expected AS (SELECT p_partkey::BIGINT AS file_id, rule_id, severity FROM part JOIN cases ON {_CASE} = k WHERE {_BAD})"
 _COUNTS = """count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info,
  coalesce(sum(CASE severity WHEN 'error' THEN 10 WHEN 'warning' THEN 3 WHEN 'info' THEN 1 ELSE 0 END), 0)::BIGINT AS raw"""
 
@@ -84,6 +64,12 @@ def lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).groupBy("file_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lint_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Script, reactivity and practice rules over derived components."""
+    files = script_files(spark, sf_dir)
+    return lint_blocks(components.facts(files), files).groupBy("file_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.file_scores(markup_files(spark, sf_dir), _findings(spark, sf_dir))
 
@@ -102,7 +88,17 @@ def configured_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("source"))
-    return elements(pages).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("pages"))
+    return components.elements(components.facts(pages, kind="markup")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_id").alias("pages"))
+
+
+def tracked_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of derived effects by kind: part rows choose how an effect comes to its read."""
+    forms = ["use(b.value)", "if (a.value) use(b.value)", "await go(); use(b.value)", "go().then(() => use(b.value))", "if (!a.value) return; use(b.value)", "use(a.value && b.value)"]
+    body = F.get(F.array(*map(F.lit, forms)), F.pmod(F.col("p_partkey"), F.lit(len(forms))).cast("int"))
+    source = F.concat(F.lit("import { ref, watchEffect } from 'vue'; const a = ref(0), b = ref(0); watchEffect(async () => { "), body, F.lit(" })"))
+    facts = components.facts(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("file_id"), source.alias("source")), kind="script")
+    reads = components.part(facts, "g_scopes").select("file_id", F.explode("reads").alias("x"))
+    return reads.groupBy(F.col("x.binding").alias("binding"), F.col("x.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("x.guards")).alias("guards"))
 
 
 def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +144,31 @@ def _order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("long").alias("line"), rule.alias("rule_id"), F.col("l_partkey").alias("message"))
 
 
+def _suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def some(where: str, line: int, action: str, rules: str, offset: int) -> DataFrame:
+        return table(spark, sf_dir, "orders").filter(where).selectExpr("o_orderkey AS file_id", f"{line} AS line", f"'{action}' AS action", f"{rules} AS rules", f"{offset}L AS offset")
+
+    none = "cast(null AS array<string>)"
+    return (
+        some("o_orderkey % 3 = 0", 2, "disable", f"IF(o_custkey % 2 = 0, array('a/one'), {none})", 20)
+        .unionByName(some("o_orderkey % 6 = 0", 4, "enable", none, 40)).unionByName(some("o_orderkey % 7 = 0", 4, "disable", "array('a/two', 'b')", 45)).unionByName(some("o_orderkey % 5 = 0", 5, "disable-next-line", none, 50))
+    )
+
+
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    first = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file_id"), F.lit(2).cast("long").alias("line"), F.lit("disable").alias("action"), F.when(F.col("o_custkey") % 2 == 0, F.lit("a/one")).alias("rule_id"))
-    then = o.filter("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("file_id"), F.lit(4).cast("long").alias("line"), F.lit("enable").alias("action"), F.lit(None).cast("string").alias("rule_id"))
-    return policy.suppress(_order_findings(spark, sf_dir), first.unionByName(then)).groupBy("rule_id", "line").agg(F.count(F.lit(1)).alias("n"))
+    stays, _ = policy.suppress(_order_findings(spark, sf_dir), _suppressions(spark, sf_dir))
+    return stays.groupBy("rule_id", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unused_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, idle = policy.suppress(_order_findings(spark, sf_dir), _suppressions(spark, sf_dir))
+    return idle.select("file_id", "rule_id", "severity", "offset")
+
+
+def final_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings once each, and the exit code of all."""
+    found = policy.ordered(_order_findings(spark, sf_dir).withColumn("severity", F.when(F.col("rule_id") == "a/one", F.lit("error")).otherwise(F.lit("warning"))))
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(policy.exit_code(found))
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +179,87 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = table(spark, sf_dir, "orders").filter("o_custkey % 5 = 0").select(F.col("o_orderkey").alias("file_id"), F.lit(2).alias("first_line"), F.lit(3).alias("last_line"))
+    """Lines 2 and 3 of some files, others whole."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 5 < 2")
+    ranges = o.select(F.col("o_orderkey").alias("file_id"), F.when(F.col("o_custkey") % 5 == 0, F.lit(2)).alias("first_line"), F.when(F.col("o_custkey") % 5 == 0, F.lit(3)).alias("last_line"))
     return policy.changed_findings(_order_findings(spark, sf_dir), ranges).groupBy("rule_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _order_findings(spark, sf_dir).select("file_id", "line", "rule_id", F.concat(F.lit("100%: a,b "), "message").alias("message"), F.lit("info").alias("severity"), F.lit(1).alias("column"), F.lit(0).cast("long").alias("offset"))
+    return reports.annotations(found).select("annotation")
+
+
+def edit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS file_id", "l_linenumber * 10L AS offset", "l_partkey % 25 AS length", "'' AS replacement", "'safe' AS applicability", "cast(l_suppkey AS string) AS rule_id")
+    return edits.plan(e).groupBy("conflict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _paths(column: str) -> str:
+    return f"CASE {column} % 3 WHEN 0 THEN concat('src/m', {column}, '.ts') WHEN 1 THEN concat('src/m', {column}, '/index.js') ELSE concat('src/m', {column}, '.vue') END"
+
+
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every module imports by alias, from its folder's parent, a package, a style, and a name beside it."""
+    files = table(spark, sf_dir, "part").selectExpr(f"{_paths('p_partkey')} AS file_id", "p_partkey AS k")
+    imports = files.selectExpr("file_id", "explode(array(concat('@/m', k + 1), concat('../m', k DIV 2), 'lib', './a.css', concat('./m', k - 1))) AS source")
+    return project.resolve(imports, files).groupBy("outcome", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unused_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component k is used, by tag alone, by component k div 2."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    files = part.selectExpr("concat('components/base/item', k, '.vue') AS file_id")
+    tags = part.filter("k > 1").selectExpr("concat('components/base/item', k DIV 2, '.vue') AS file_id", "IF(k % 3 = 0, concat('base-item', k), concat('Other', k)) AS tag")
+    nothing = spark.createDataFrame([], "file_id string, source string, local string, target string, outcome string")
+    return project.unused_components(files, project.component_edges(tags, nothing, files)).select("file_id", "rule_id")
+
+
+def export_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules in tens: the first exports x, each other takes x over from the one before, by name or by star; every seventh
+    also by star from a module with another x, which only a named re-export hides."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"))
+    own = part.filter("k % 10 = 0").selectExpr("k AS module", "'x' AS exported", "'known' AS state", "IF(k % 20 = 0, 'ref', 'computed') AS kind", "cast(array() AS array<struct<field:string,kind:string>>) AS fields")
+    own = own.unionByName(spark.range(1).selectExpr("-1L AS module", "'x' AS exported", "'known' AS state", "'reactive' AS kind", "cast(array() AS array<struct<field:string,kind:string>>) AS fields"))
+    over = part.filter("k % 10 > 0").selectExpr("k AS module", "'./before' AS source", "IF(k % 2 = 0, '*', 'x') AS imported", "IF(k % 2 = 0, '*', 'x') AS exported")
+    more = part.filter("k % 7 = 0").selectExpr("k AS module", "'./other' AS source", "'*' AS imported", "'*' AS exported")
+    links = part.filter("k % 10 > 0").selectExpr("k AS module", "'./before' AS source", "k - 1 AS target").unionByName(part.selectExpr("k AS module", "'./other' AS source", "-1L AS target"))
+    return exports.resolve_exports(own, over.unionByName(more), links).filter("module >= 0").select("module", "name", "kind")
+
+
+_MANIFESTS = [("", "^2.7.1"), ("a1/", "~3.4"), ("a1/b2/", ">=3.5.13 <4"), ("a3/", None)]
+
+
+def environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest manifest above each file decides the version of its framework."""
+    files = table(spark, sf_dir, "part").selectExpr("concat('a', p_partkey % 5, '/b', p_partkey % 4, '/f', p_partkey, '.vue') AS file_id")
+    texts = [(f"{d}package.json", f'{{"devDependencies": {{"vue": "{v}"}}}}' if v else '{"dependencies": {"x": "1"}}') for d, v in _MANIFESTS]
+    env = workspace.environment(files, spark.createDataFrame(texts, "file_id string, source string"))
+    v = F.when(F.col("vue_version").isNotNull(), F.concat_ws(".", "vue_version.major", "vue_version.minor", "vue_version.patch"))
+    return env.groupBy(v.alias("version")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings after three batches of edits: all files, then new texts for some, then late edits and deletions. They are
+    those of a scan of the last state."""
+    import uuid
+
+    from ..session import _app_dir
+
+    store = incremental.Store(spark, f"{_app_dir(spark)}/{uuid.uuid4().hex}")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    bad, good = F.lit("<marquee>x</marquee>"), F.lit("<em>x</em>")
+    name = F.col("k").cast("string").alias("file_id")
+    first = part.select(name, F.lit(1).cast("long").alias("revision"), F.when(F.col("k") % 2 == 0, bad).otherwise(good).alias("source"))
+    then = part.filter("k % 3 = 0").select(name, F.lit(3).cast("long").alias("revision"), F.when(F.col("k") % 2 == 0, good).otherwise(bad).alias("source"))
+    late = part.filter("k % 3 = 0").select(name, F.lit(2).cast("long").alias("revision"), bad.alias("source"))
+    gone = part.filter("k % 5 = 0").select(name, F.lit(4).cast("long").alias("revision"), F.lit(None).cast("string").alias("source"))
+    scan = lambda some, every: lint_elements(components.elements(components.facts(some, kind="markup"))).select("file_id", "rule_id")
+    for epoch, batch in enumerate((first, then, late.unionByName(gone))):
+        store.apply(batch, scan, epoch)
+    return store.findings()
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part k depends on parts k div 2 and k div 3."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("src"))
@@ -187,16 +280,45 @@ def single_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (lint, file_scores, project_score, configured_score, page_elements, unresolved_links, after_await, duplicate_macros, repeated_writes, tracking_state, suppressed, baseline, changed, reverse_closure, unreferenced, single_candidate)
+    for f in (
+        lint, lint_scripts, file_scores, project_score, configured_score, page_elements, tracked_reads, unresolved_links, after_await, duplicate_macros, repeated_writes, tracking_state, suppressed, unused_suppressions, final_findings, baseline, changed,
+        annotated, edit_plan, resolved_imports, unused_components, export_chains, environments, incremental_scan, reverse_closure, unreferenced, single_candidate,
+    )
 }
 
 _N = len(script_rules.REGISTRARS)
 _CALLS = f"calls AS (SELECT l_orderkey AS file_id, ([{', '.join(repr(c) for c in script_rules.REGISTRARS)}])[l_partkey % {_N} + 1] AS callee, CASE WHEN l_suppkey % 3 = 0 THEN 'm' END AS assigned_to, l_linenumber * 10 AS off FROM lineitem)"
 _KEBAB = "lower(regexp_replace(callee, '([A-Z])', '-\\1', 'g'))"
 _FOUND = "found AS (SELECT l_orderkey AS file_id, l_linenumber::BIGINT AS line, CASE WHEN l_linenumber = 7 THEN 'project/cycle' WHEN l_suppkey % 2 = 0 THEN 'a/one' ELSE 'a/two' END AS rule_id, l_partkey AS message FROM lineitem)"
+#: Directives, each finding's hiding ones, and which directives hid something.
+_DIRECTIVES = f"""{_FOUND}, d AS (SELECT o_orderkey AS file_id, 2 AS line, 'disable' AS action, CASE WHEN o_custkey % 2 = 0 THEN ['a/one'] END AS rules, 20 AS off FROM orders WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT o_orderkey, 4, 'enable', NULL, 40 FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT o_orderkey, 4, 'disable', ['a/two', 'b'], 45 FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 5, 'disable-next-line', NULL, 50 FROM orders WHERE o_orderkey % 5 = 0),
+    u AS (SELECT row_number() OVER () AS id, * FROM found),
+    m AS (SELECT u.id, u.file_id, u.line, u.rule_id, d.action, d.off, d.line AS dl FROM u JOIN d ON d.file_id = u.file_id AND d.line <= u.line AND (d.rules IS NULL OR list_contains(d.rules, u.rule_id))),
+    nxt AS (SELECT id, file_id, off FROM m WHERE action = 'disable-next-line' AND dl + 1 = line),
+    blk AS (SELECT id, any_value(file_id) AS file_id, arg_max(action, dl * 1000 + off) AS action, arg_max(off, dl * 1000 + off) AS off FROM m WHERE action <> 'disable-next-line' GROUP BY id),
+    used AS (SELECT id, file_id, off FROM nxt UNION ALL SELECT id, file_id, off FROM blk WHERE action = 'disable' AND id NOT IN (SELECT id FROM nxt))"""
 _EDGES = "edges AS (SELECT DISTINCT p_partkey::BIGINT AS src, unnest([p_partkey // 2, p_partkey // 3])::BIGINT AS dst FROM part), e AS (SELECT * FROM edges WHERE dst > 0)"
 ORACLE: dict[str, str] = {
     "lint": f"WITH {_EXPECTED} SELECT file_id, rule_id, severity, count(*) AS n FROM expected GROUP BY ALL",
+    "lint_scripts": f"WITH {_SCRIPT_CASES} SELECT file_id, rule_id, severity, count(*) AS n FROM expected GROUP BY ALL",
+    "tracked_reads": """WITH f(form, binding, kind, guards) AS (VALUES (0, 'b', 'unconditional', 0), (1, 'a', 'unconditional', 0), (1, 'b', 'conditional', 1), (2, 'b', 'after_await', 0), (3, 'b', 'outside_tracking', 0), (4, 'a', 'unconditional', 0),
+        (4, 'b', 'conditional', 1), (5, 'a', 'unconditional', 0), (5, 'b', 'conditional', 1)) SELECT binding, kind, count(*) AS n, sum(guards)::BIGINT AS guards FROM part JOIN f ON p_partkey % 6 = form GROUP BY ALL""",
+    "unused_suppressions": f"WITH {_DIRECTIVES} SELECT file_id, 'config/unused-suppression' AS rule_id, 'warning' AS severity, off AS \"offset\" FROM d WHERE action <> 'enable' AND (file_id, off) NOT IN (SELECT file_id, off FROM used)",
+    "final_findings": f"WITH {_FOUND}, u AS (SELECT DISTINCT * FROM found) SELECT rule_id, count(*) AS n, (SELECT max(CASE WHEN rule_id = 'a/one' THEN 1 ELSE 0 END) FROM u)::INT AS exit_code FROM u GROUP BY rule_id",
+    "annotated": f"WITH {_FOUND} SELECT '::notice file=' || file_id || ',line=' || line || ',col=1,title=' || rule_id || '::100%25: a,b ' || message AS annotation FROM found",
+    "edit_plan": """WITH e AS (SELECT l_orderkey AS f, l_linenumber * 10 AS o, l_partkey % 25 AS len, l_suppkey::VARCHAR AS r FROM lineitem), w AS (SELECT o, len, lag(o) OVER x AS po, lag(len) OVER x AS pl FROM e WINDOW x AS (PARTITION BY f ORDER BY o, len, r))
+        SELECT coalesce(o < po + pl OR (o = po + pl AND (len = 0 OR pl = 0) AND o = po), false) AS conflict, count(*) AS n FROM w GROUP BY 1""",
+    "resolved_imports": f"""WITH f AS (SELECT p_partkey AS k, {_paths('p_partkey')} AS p FROM part), i AS (SELECT k, k + 1 AS j, true AS can FROM f UNION ALL SELECT k, k // 2, k % 3 = 1 FROM f UNION ALL SELECT k, k - 1, k % 3 <> 1 FROM f)
+        SELECT CASE WHEN p IS NULL THEN 'unresolved' ELSE 'file' END AS outcome, p AS target, count(*) AS n FROM i LEFT JOIN f ON f.k = j AND can GROUP BY ALL
+        UNION ALL SELECT unnest(['external', 'quiet']), NULL, count(*) FROM f""",
+    "unused_components": "SELECT 'components/base/item' || p_partkey || '.vue' AS file_id, 'project/unused-component' AS rule_id FROM part WHERE NOT (p_partkey > 1 AND p_partkey % 3 = 0)",
+    "export_chains": """WITH RECURSIVE k AS (SELECT p_partkey::BIGINT AS k FROM part), t AS (SELECT k, ARRAY[CASE WHEN k % 20 = 0 THEN 'ref' ELSE 'computed' END] AS s FROM k WHERE k % 10 = 0
+        UNION ALL SELECT k.k, CASE WHEN k.k % 2 = 0 AND k.k % 7 = 0 THEN list_distinct(list_append(s, 'reactive')) ELSE s END FROM t JOIN k ON k.k = t.k + 1 AND k.k % 10 > 0)
+        SELECT k AS module, 'x' AS name, s[1] AS kind FROM t WHERE len(s) = 1""",
+    "environments": """WITH v(a, b, version) AS (SELECT a, b, CASE WHEN a = 1 AND b = 2 THEN '3.5.13' WHEN a = 1 THEN '3.4.0' WHEN a = 3 THEN NULL ELSE '2.7.1' END FROM (SELECT unnest(range(5)) AS a), (SELECT unnest(range(4)) AS b))
+        SELECT version, count(*) AS n FROM part JOIN v ON p_partkey % 5 = a AND p_partkey % 4 = b GROUP BY version""",
+    "incremental_scan": "SELECT p_partkey::VARCHAR AS file_id, 'accessibility/no-distracting-elements' AS rule_id FROM part WHERE p_partkey % 5 <> 0 AND CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 2 <> 0 ELSE p_partkey % 2 = 0 END",
     "file_scores": f"""WITH {_EXPECTED}, g AS (SELECT file_id, {_COUNTS} FROM expected GROUP BY file_id),
         j AS (SELECT p_partkey::BIGINT AS file_id, coalesce(n_error, 0) AS n_error, coalesce(n_warning, 0) AS n_warning, coalesce(n_info, 0) AS n_info, coalesce(raw, 0) AS raw FROM part LEFT JOIN g ON p_partkey = file_id)
         SELECT *, (CASE WHEN raw = 0 THEN 100 ELSE 5000 // (50 + raw) END)::INT AS score FROM j""",
@@ -211,13 +333,12 @@ ORACLE: dict[str, str] = {
     "duplicate_macros": f"""WITH {_CALLS}, k AS (SELECT callee, count(*) - 1 AS extra FROM calls WHERE callee IN ('defineProps', 'defineEmits', 'defineExpose', 'defineSlots', 'defineOptions', 'defineModel')
         GROUP BY file_id, callee, CASE WHEN callee = 'defineModel' THEN coalesce(assigned_to, '') END) SELECT 'correctness/no-duplicate-' || {_KEBAB} AS rule_id, sum(extra)::BIGINT AS n FROM k GROUP BY callee HAVING sum(extra) > 0""",
     "repeated_writes": "SELECT l_orderkey AS module_id, l_suppkey % 5 AS binding, l_returnflag AS property, count(*) AS n_writes, min(l_linenumber)::BIGINT AS first_offset FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) >= 2",
-    "tracking_state": """WITH e AS (SELECT l_orderkey AS module_id, l_linenumber::BIGINT AS off, CASE min(l_partkey) % 7 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' ELSE 'read' END AS kind FROM lineitem GROUP BY 1, 2)
-        , s AS (SELECT *, last_value(CASE WHEN kind <> 'read' THEN kind = 'resume' END IGNORE NULLS) OVER (PARTITION BY module_id ORDER BY off) AS state FROM e)
+    "tracking_state": """WITH e AS (SELECT l_orderkey AS module_id, l_linenumber::BIGINT AS off, CASE l_partkey % 7 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' ELSE 'read' END AS kind FROM lineitem)
+        , s AS (SELECT *, last_value(CASE WHEN kind <> 'read' THEN kind = 'resume' END IGNORE NULLS) OVER (PARTITION BY module_id ORDER BY off, CASE kind WHEN 'pause' THEN 0 WHEN 'resume' THEN 1 ELSE 2 END ROWS UNBOUNDED PRECEDING) AS state FROM e)
         SELECT module_id, off AS "offset", coalesce(state, true) AS tracked FROM s WHERE kind = 'read'""",
-    "suppressed": f"""WITH {_FOUND} SELECT rule_id, line, count(*) AS n FROM found JOIN orders ON file_id = o_orderkey
-        WHERE NOT (o_orderkey % 3 = 0 AND line >= 2 AND (o_custkey % 2 <> 0 OR rule_id = 'a/one') AND NOT (o_orderkey % 6 = 0 AND line >= 4)) GROUP BY ALL""",
+    "suppressed": f"WITH {_DIRECTIVES} SELECT rule_id, line, count(*) AS n FROM u WHERE id NOT IN (SELECT id FROM used) GROUP BY ALL",
     "baseline": f"WITH {_FOUND} SELECT rule_id, count(*) AS n FROM found WHERE message % 3 <> 0 GROUP BY rule_id",
-    "changed": f"WITH {_FOUND} SELECT rule_id, line, count(*) AS n FROM found JOIN orders ON file_id = o_orderkey WHERE o_custkey % 5 = 0 AND (line BETWEEN 2 AND 3 OR rule_id LIKE 'project/%') GROUP BY ALL",
+    "changed": f"WITH {_FOUND} SELECT rule_id, line, count(*) AS n FROM found JOIN orders ON file_id = o_orderkey WHERE o_custkey % 5 = 1 OR (o_custkey % 5 = 0 AND (line BETWEEN 2 AND 3 OR rule_id LIKE 'project/%')) GROUP BY ALL",
     "reverse_closure": f"WITH RECURSIVE {_EDGES}, r AS (SELECT unnest([5, 6, 7])::BIGINT AS id, 0 AS depth UNION SELECT src, depth + 1 FROM r JOIN e ON dst = id) SELECT id, min(depth)::INT AS depth FROM r GROUP BY id",
     "unreferenced": f"WITH {_EDGES} SELECT p_partkey::BIGINT AS id FROM part WHERE p_partkey NOT IN (SELECT dst FROM e)",
     "single_candidate": "SELECT c_nationkey, c_custkey % 40 AS bucket, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN min(c_mktsegment) END AS segment FROM customer GROUP BY 1, 2",

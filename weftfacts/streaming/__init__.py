@@ -1 +1 @@
-
+"""Structured Streaming over edits of source files."""
