@@ -91,10 +91,10 @@ def _with_text(piece: pa.RecordBatch) -> pa.RecordBatch:
 def huge_fingerprints(docs: DataFrame, chunk: int = CHUNK * 64) -> DataFrame:
     """(doc_id, fp, x, text_sha256) of documents hashed as chunks on many tasks and put together by combine().
 
-    docs: doc_id, text. The chunks of a document are bounded by its length over `chunk`; only their hashes are gathered.
+    docs: doc_id, text, x. The chunks of a document are bounded by its length over `chunk`; only their hashes are gathered.
     """
-    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lower_az(F.col("text")).alias("t")).select(
-        "doc_id", "row", F.struct(F.xxhash64("t").alias("x"), F.sha2("t", 256).alias("text_sha256")).alias("own"), F.col("t").cast("binary").alias("b")
+    cut = docs.select("doc_id", "x", F.monotonically_increasing_id().alias("row"), lower_az(F.col("text")).alias("t")).select(
+        "doc_id", "row", F.struct("x", F.sha2("t", 256).alias("text_sha256")).alias("own"), F.col("t").cast("binary").alias("b")
     )
     cut = cut.withColumn("pos", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("b"), F.lit(1)) - 1) / chunk).cast("int"))))
     cut = cut.select("doc_id", "row", "own.x", "own.text_sha256", "pos", F.expr(f"substring(b, pos * {chunk} + 1, {chunk})").alias("part")).repartition("row", "pos")
@@ -156,7 +156,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unless its whole group has none (then keep_id is null and kept is true for all of it). An empty table gives no rows;
     further columns are not read. `huge`, `hot` and `chunk` decide how work is spread and change no result.
     """
-    base = doc_text(docs, id_col, text_col).withColumn("x", F.xxhash64(lower_az(F.col("text"))))
+    # x only prepares the filter and sharpens the key: texts equal after lower-casing A-Z have equal x, whatever else has.
+    base = doc_text(docs, id_col, text_col).withColumn("x", F.xxhash64(F.lower("text")))
     small = map_text(base.filter(F.octet_length("text") <= huge), _fingerprints, NARROW)
     large = huge_fingerprints(base.filter(F.octet_length("text") > huge))
     narrow = materialize(small.unionByName(large))
