@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of part, spread over all cores: the table is one small file, and what is derived from a key is parsed."""
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+
+
 def _breaks(i: int) -> str:
     return f"(p_partkey * 7 + {i}) % {3 + i % 5} = 0"
 
@@ -32,7 +37,7 @@ def _breaks(i: int) -> str:
 def markup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, source) derived from part: every file holds one form of every snippet."""
     pieces = [F.when(F.expr(_breaks(i)), F.lit(bad)).otherwise(F.lit(good)) for i, (_, bad, good) in enumerate(MARKUP)]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("file_id"), F.concat_ws("\n<hr>\n", *pieces).alias("source"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").cast("long").alias("file_id"), F.concat_ws("\n<hr>\n", *pieces).alias("source"))
 
 
 _CASE, _BAD = f"p_partkey % {len(SCRIPTS)}", f"(p_partkey // {len(SCRIPTS)}) % 2 = 0"
@@ -45,7 +50,7 @@ def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.pmod(F.col("p_partkey"), F.lit(len(SCRIPTS))).cast("int")
     form = F.when(F.expr(_BAD.replace("//", "div")), F.lit(0)).otherwise(F.lit(1))
     version = F.struct(F.lit(3).cast("long").alias("major"), F.get(minor, case).alias("minor"), F.lit(0).cast("long").alias("patch"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("file_id"), F.get(F.get(texts, case), form).alias("source"), version.alias("vue_version"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").cast("long").alias("file_id"), F.get(F.get(texts, case), form).alias("source"), version.alias("vue_version"))
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +101,7 @@ def tracked_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = ["use(b.value)", "if (a.value) use(b.value)", "await go(); use(b.value)", "go().then(() => use(b.value))", "if (!a.value) return; use(b.value)", "use(a.value && b.value)"]
     body = F.get(F.array(*map(F.lit, forms)), F.pmod(F.col("p_partkey"), F.lit(len(forms))).cast("int"))
     source = F.concat(F.lit("import { ref, watchEffect } from 'vue'; const a = ref(0), b = ref(0); watchEffect(async () => { "), body, F.lit(" })"))
-    facts = components.facts(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("file_id"), source.alias("source")), kind="script")
+    facts = components.facts(_parts(spark, sf_dir).select(F.col("p_partkey").cast("long").alias("file_id"), source.alias("source")), kind="script")
     reads = components.part(facts, "g_scopes").select("file_id", F.explode("reads").alias("x"))
     return reads.groupBy(F.col("x.binding").alias("binding"), F.col("x.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("x.guards")).alias("guards"))
 
