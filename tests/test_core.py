@@ -255,6 +255,20 @@ def test_seeds_reach_the_second_trace(spark):
     assert reads(one) == [] and [(r["x"]["binding"], r["x"]["kind"]) for r in reads(two)] == [("own", "unconditional")]
 
 
+def test_composables_cross_files(spark):
+    files = [("use.ts", "export function useX() { const a = ref(0); const b = 1; return { a, b, c: computed(() => 1) } }\nexport const make = () => shallowRef(0)"), ("all.ts", "export * from './use'")]
+    files += [("c.ts", "import { useX, make } from './all'; const { a, b, c: d } = useX(); const m = make(); const { data } = useFetch('/x'); watchEffect(() => [a.value, b.value, d.value, m.value, data.value])")]
+    files = spark.createDataFrame(files, "file_id string, source string")
+    one = components.facts(files, kind="script")
+    mod = lambda name: components.part(one, name).withColumnRenamed("file_id", "module")
+    imports = components.part(one, "imports")
+    links = project.resolve(imports, files).filter("outcome = 'file'").selectExpr("file_id AS module", "source", "target").distinct()
+    known = exports.resolve_exports(mod("exports"), mod("reexports"), links)
+    two = components.facts(files, kind="script", seeds=exports.seeds(imports, known, links))
+    assert {(r["name"], r["kind"]) for r in components.part(two, "g_bindings").filter("file_id = 'c.ts'").collect()} == {("a", "ref"), ("d", "computed"), ("m", "shallow_ref"), ("data", "ref")}
+    assert {r["x"]["binding"] for r in components.part(two, "g_scopes").filter("file_id = 'c.ts'").selectExpr("explode(reads) AS x").collect()} == {"a", "d", "m", "data"}
+
+
 def test_project_graph(spark):
     files = spark.createDataFrame([(p,) for p in ("src/App.vue", "src/components/base/Btn.vue", "src/components/Card.vue", "src/components/Card.spec.vue", "src/components/Lone.vue", "src/lib/index.ts")], "file_id string")
     imports = spark.createDataFrame([("src/App.vue", s, n) for s, n in (("./components/Card.vue", "Card"), ("@/lib", "x"), ("./gone", "y"), ("vue", "z"), ("./a.css", ""))], "file_id string, source string, local string").selectExpr("*", "0L AS offset", "1 AS line")

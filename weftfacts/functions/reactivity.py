@@ -26,6 +26,11 @@ _TYPE = re.compile(r"(?:Readonly<\s*)?(\w+)\s*<")
 _SYNC_FIRST = frozenset("filter map forEach reduce reduceRight some every find findIndex findLast findLastIndex flatMap sort toSorted toSpliced".split())
 _DEFERRED = frozenset(("nextTick", "queueMicrotask", "setTimeout"))
 
+#: Functions of common packages that return an object of reactive values: where they come from, and its fields.
+_DATA = dict.fromkeys(("data", "pending", "error", "status"), "ref")
+BAGS = {c: (("#imports", "#app", "nuxt/app"), _DATA) for c in ("useAsyncData", "useLazyAsyncData", "useFetch", "useLazyFetch")}
+BAGS["useI18n"] = (("vue-i18n", "#imports"), dict.fromkeys(("locale", "fallbackLocale", "locales", "messages", "availableLocales"), "computed"))
+
 Span = Callable[[int, int], tuple[int, int, int, int]]
 
 
@@ -54,12 +59,20 @@ class Tracer:
                 for x in n["names"] or []:
                     self.imports[x["local"]["name"]] = (n["source"], x["imported"])
         self.kind: dict[int, str] = {}  # by symbol
+        self.open: set[int] = set()
         self.symbol: dict[int, Symbol] = {}
         self.null: set[int] = set()
         self.effect_scopes: set[int] = set()
+        # Seeds are names of imported values, `f()` for what a function returns and `f().field` for what it returns an object of.
+        self.shapes: dict[str, dict[str, str]] = {}
+        self.returns: dict[str, str] = {}
         for name, kind in (seeds or {}).items():
-            sym = names.top.find(name)
-            if sym:
+            head, call, field = name.partition("()")
+            if call and field:
+                self.shapes.setdefault(head, {})[field[1:]] = kind
+            elif call:
+                self.returns[head] = kind
+            elif sym := names.top.find(name):
                 self._bind(sym, kind)
         self._bindings()
         self.scopes = self._scopes()
@@ -98,6 +111,8 @@ class Tracer:
             name = self.callee(e)
             if name == "withDefaults":
                 return "reactive"
+            if name is None and e["callee"]["t"] == "Name":
+                return self._of_call(e["callee"])[0]
             return KINDS.get(name or "") if name not in ("toRefs", "storeToRefs", "defineModels") else None
         if e["t"] == "Name":
             return self.kind.get(id(e.get("sym"))) if e.get("sym") else None
@@ -106,6 +121,24 @@ class Tracer:
             return a if a == b else "ref" if a in REF_LIKE and b in REF_LIKE else None
         return None
 
+    def _of_call(self, c: Node) -> tuple[str | None, dict[str, str]]:
+        """(kind, fields) of what a function named here returns: one of this file, an imported one, or one of a package."""
+        name, sym = c["name"], c.get("sym")
+        if name in self.imports and sym is self.names.top.names.get(name):
+            source, imported = self.imports[name]
+            if imported in BAGS and source in BAGS[imported][0]:
+                return None, BAGS[imported][1]
+            return self.returns.get(name), self.shapes.get(name, {})
+        if sym is None:
+            return None, BAGS[name][1] if name in BAGS else {}
+        fn = self._function(sym)
+        if not fn or not fn["body"] or fn["async"] or id(fn) in self.open:
+            return None, {}
+        self.open.add(id(fn))  # a function that returns a call of itself says nothing
+        got = self._returned(fn)
+        self.open.discard(id(fn))
+        return got.get("kind"), {f["field"]: f["kind"] for f in got.get("fields", [])}
+
     def _typed(self, ty: str | None) -> str | None:
         m = _TYPE.match(ty or "")
         return _TYPES.get(m.group(1)) if m else None
@@ -134,6 +167,12 @@ class Tracer:
                         for x in pattern_names(target):
                             if sym := by_start.get((x["a"], x["name"])):
                                 self._bind(sym, kind)
+                    elif name is None and init["callee"]["t"] == "Name" and target["t"] == "ObjectPattern":
+                        fields = self._of_call(init["callee"])[1]
+                        for f in target["found"]:
+                            x = f["value"]
+                            if f["t"] == "Field" and x["t"] == "Name" and f["key"]["name"] in fields and (sym := by_start.get((x["a"], x["name"]))):
+                                self._bind(sym, fields[f["key"]["name"]])
                     elif name == "defineModel" and target["t"] == "ArrayPattern" and target["found"] and target["found"][0]["value"]["t"] == "Name":
                         x = target["found"][0]["value"]
                         if sym := by_start.get((x["a"], x["name"])):

@@ -68,11 +68,17 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def seeds(imports: DataFrame, resolved: DataFrame, links: DataFrame) -> DataFrame:
-    """(file_id, seeds map<local name, kind>): imported reactive values, for the second trace of the files that have any."""
+    """(file_id, seeds map<name, kind>): imported reactive values and what imported functions return, for the second trace of
+    the files that have any."""
     at = imports.filter("local <> '' AND imported <> '*'").select(F.col("file_id").alias("module"), "source", "imported", "local")
-    hit = at.join(links, ["module", "source"]).join(resolved.filter("state = 'known'").select(F.col("module").alias("target"), F.col("name").alias("imported"), "kind"), ["target", "imported"])
-    pairs = hit.groupBy("module", "local").agg(F.count_distinct("kind").alias("n"), F.min("kind").alias("kind")).filter("n = 1")
-    return pairs.groupBy(F.col("module").alias("file_id")).agg(F.map_from_entries(F.collect_list(F.struct("local", "kind"))).alias("seeds"))
+    taken = resolved.filter("state <> 'local'").select(F.col("module").alias("target"), F.col("name").alias("imported"), "state", "kind", "fields")
+    hit = at.join(links, ["module", "source"]).join(taken, ["target", "imported"])
+    # A value under its name, what a function returns under name(), and the fields of what it returns under name().field.
+    parts = F.when(F.col("state") == "composable", F.transform("fields", lambda f: F.struct(F.concat("local", F.lit("()."), f["field"]).alias("name"), f["kind"].alias("kind"))))
+    parts = parts.otherwise(F.array(F.struct(F.concat("local", F.when(F.col("state") == "factory", F.lit("()")).otherwise(F.lit(""))).alias("name"), F.col("kind").alias("kind"))))
+    named = hit.select("module", F.explode(parts).alias("p")).select("module", "p.name", "p.kind").filter("kind IS NOT NULL")
+    pairs = named.groupBy("module", "name").agg(F.count_distinct("kind").alias("n"), F.min("kind").alias("kind")).filter("n = 1")
+    return pairs.groupBy(F.col("module").alias("file_id")).agg(F.map_from_entries(F.collect_list(F.struct("name", "kind"))).alias("seeds"))
 
 
 def single_providers(offers: DataFrame, injects: DataFrame) -> DataFrame:
