@@ -1,13 +1,18 @@
 import math
 import random
+import re
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from weftfacts.llm.piece_sampling import BYTE_WEIGHT, LONG, decode, encode, lattice
 from weftfacts.llm import piece_sampling as ps
+from weftfacts.llm.common import give_back
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 TEXTS = ["", " ", "Hello  world", " é▁漢\x00 \U0001f600x", "a" * 300, "  \n ", "the nation of tion", "▁▁", "x" * (LONG + 1), "漢字の" * 400, "http://a.example/" + "nation" * 200]
@@ -119,3 +124,40 @@ def test_operator_round_trip(spark):
     assert len({tuple(r["ids"]) for r in got if r["doc_id"] == 2}) == 1
     assert sorted(str(tuple(r)) for r in decode(enc, PATH).collect()) == sorted(str((i, t or "")) for i, t, _ in rows)
     assert encode(df.limit(0), PATH).collect() == []
+
+
+def test_a_batch_is_encoded_in_small_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(3, 9))) for _ in range(300)) for _ in range(900)]
+    df = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run, keys = encode(df, PATH), list(range(len(texts)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": keys, "key": pa.array(keys, pa.int64()), "text": texts})
+    lattice(PATH, 1.0)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) == len(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 110
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    blocks = [np.ones(12_500) for _ in range(400)]  # 40 MB in pieces too small to be mapped one by one
+    some = blocks[39::40]
+    del blocks
+    before = held()
+    give_back()
+    assert before - held() > 20 and len(some) == 10
+
+
+def test_parts_of_a_very_long_text_are_encoded_one_by_one(monkeypatch):
+    m, sizes = lattice(PATH, 1.0), []
+    monkeypatch.setattr(ps, "PART", 64)
+    plain = ps.Lattice._encode
+    monkeypatch.setattr(ps.Lattice, "_encode", lambda self, texts, *more: sizes.append(sum(map(len, texts))) or plain(self, texts, *more))
+    text = "nations " * 100  # with the mark before it, a part of just 64 characters ends before each eighth mark
+    assert [m.decode(i) for i in spread(m, [text], [1])] == [text]
+    assert max(sizes) <= 2 * 64

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +50,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker between two tasks would else keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = 4 << 20) -> DataFrame:
     """mapInArrow with fn on text-bounded pieces of each batch; no row is seen twice and none needs its neighbours."""
 

@@ -12,7 +12,9 @@ again from what it was handed. Nothing is cut, and where a stretch or a block en
 The model's scores order the merges; a piece of rank r weighs (r + 2) to the power -theta. Characters no piece covers
 become byte pieces, a literal word mark too, which is what keeps decoding lossless.
 
-Cost: one pass over the texts, no shuffle; nothing is broadcast, the model file is read from its path by each worker.
+Cost: one pass over the texts, no shuffle; nothing is broadcast, the model file is read from its path by each worker. A
+lattice takes about 250 bytes for each byte of text, so SLICE bytes of texts or PART characters of one text are taken at
+once, whatever a batch holds; what that took goes back to the system at the end of a batch.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, slices
+from .common import doc_text, give_back, slices
 
 MARK, LITERAL = 0x2581, 0x110000
 #: Characters of a stretch above which it is filtered by itself, of its blocks, and of a part of a very long text.
-LONG, BLOCK, PART = 512, 1 << 16, 1 << 20
+LONG, BLOCK, PART = 512, 1 << 16, 1 << 18
+#: Bytes of texts that are encoded together.
+SLICE = 1 << 18
 #: Log weight of a byte piece, added for each byte of a character that has no piece.
 BYTE_WEIGHT = -12.0
 
@@ -291,7 +295,7 @@ class Lattice:
                 parts.append(t[a:z])
                 owner.append(i)
                 places.append(a)
-                if len(parts[-1]) > PART:
+                if len(parts[-1]) >= PART:
                     flush()
                 a = z
         if parts:
@@ -412,7 +416,7 @@ def encode(docs: DataFrame, path: str, seed: int = 42, theta: float = 1.0, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lattice(path, theta)
         for batch in batches:
-            for piece in slices(batch, "text", 3 << 19):
+            for piece in slices(batch, "text", SLICE):
                 texts = piece.column("text").to_pylist()
                 ids, counts = m.encode(texts, piece.column("key").to_numpy().view(np.uint64))
                 ends = np.cumsum(counts)
@@ -421,6 +425,7 @@ def encode(docs: DataFrame, path: str, seed: int = 42, theta: float = 1.0, id_co
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), lists, pa.array(counts, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(same)], ["doc_id", "ids", "n_pieces", "n_bytes", "lossless"]
                 )
+            give_back()
 
     return keyed.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_bytes long, lossless boolean")
 
