@@ -131,7 +131,7 @@ def density(raw: Column, files: Column) -> Column:
 def file_scores(files: DataFrame, findings: DataFrame) -> DataFrame:
     """(file_id, n_error, n_warning, n_info, raw, score) for every file, those without findings too."""
     grouped = findings.groupBy("file_id").agg(*score_columns())
-    joined = files.select("file_id").join(grouped, "file_id", "left").na.fill(0, ["n_error", "n_warning", "n_info", "raw"])
+    joined = files.select("file_id").join(grouped.hint("merge"), "file_id", "left").na.fill(0, ["n_error", "n_warning", "n_info", "raw"])
     return joined.withColumn("score", density(F.col("raw"), F.lit(1)))
 
 
