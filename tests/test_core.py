@@ -366,3 +366,16 @@ def test_every_file_gets_the_rows_of_its_text(spark):
     both = components.by_text(files, lambda some: some.select("file_id", "kind", "source"), "kind")
     assert sorted((r.file_id, r.source or "", r.kind) for r in both.collect()) == sorted((i, t or "", k) for i, t, k in rows)
     assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_import_resolution_broadcasts_nothing(spark):
+    """However small the tables look: Spark knows their files' sizes, not those of the paths made from them."""
+    files = spark.createDataFrame([("src/a.ts",), ("src/a/index.js",), ("src/b.d.ts",), ("index.vue",), ("lib/c.x",)], "file_id string")
+    imports = [("./a", "src/a.ts"), ("./b", "src/b.d.ts"), ("./b.d", "src/b.d.ts"), ("@/a/index", "src/a/index.js"), ("../lib/c.x", "lib/c.x"), ("../index", "index.vue"), ("./none", None), ("pkg", None)]
+    out = project.resolve(spark.createDataFrame([("src/z.ts", s) for s, _ in imports], "file_id string, source string"), files)
+    assert "Broadcast" not in _plan(out)
+    assert {r.source: r.target for r in out.collect()} == dict(imports)

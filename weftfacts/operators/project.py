@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, tuple[str,
 
     imports: file_id (a path), source; files: file_id. Relative specifiers are joined with their file's folder, those under an
     alias with the alias's folders in turn; then the path itself, the path with each extension, and an index file in it are
-    looked up, first hit wins. A bare name is a package. The lookup is one join of the candidates; nothing is broadcast by
-    hand. Imports that repeat are resolved once.
+    looked up, first hit wins. A bare name is a package. Each file offers itself under the few paths that mean it, so an
+    import looks up a path once and not with every ending. Neither side is broadcast, as both grow with the project. Imports
+    that repeat are resolved once.
     """
     aliases = aliases if aliases is not None else {"@/": ("src/", ""), "~/": ("src/", ""), "@@/": ("",), "~~/": ("",)}
     spec = F.regexp_replace("source", r"[?#].*$", "")
@@ -33,17 +36,16 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, tuple[str,
     bases = F.when(spec.startswith("."), F.array(F.concat(F.expr(folder("file_id")), spec))).when(spec.startswith("/"), F.array(spec))
     for prefix, folders in aliases.items():
         bases = bases.when(spec.startswith(prefix), F.array(*[F.concat(F.lit(f), F.substr(spec, F.lit(len(prefix) + 1))) for f in folders]))
-    known = known.withColumn("bases", bases.otherwise(F.array().cast("array<string>")))
+    local = spec.rlike("^(" + "|".join(re.escape(p) for p in (".", "/", *aliases)) + ")")
     ends = ["", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS]]
-    tails = F.array(*map(F.lit, ends))
-    base = known.select("file_id", "source", F.posexplode("bases").alias("b", "base"))
-    tries = base.select("file_id", "source", "b", F.expr(normal("base")).alias("path")).select("file_id", "source", "b", "path", F.posexplode(tails).alias("e", "tail"))
-    tries = tries.select("file_id", "source", (F.col("b") * len(ends) + F.col("e")).alias("rank"), F.concat("path", "tail").alias("target"))
-    found = tries.join(files.select(F.col("file_id").alias("target")).distinct(), "target").groupBy("file_id", "source").agg(F.min_by("target", "rank").alias("target"))
-    local = F.size("bases") > 0
+    own = F.array_compact(F.array(*[F.when(F.col("file_id").endswith(t), F.struct(F.lit(e).alias("e"), F.expr(f"left(file_id, length(file_id) - {len(t)})").alias("path"))) for e, t in enumerate(ends)]))
+    offers = files.select("file_id").distinct().select(F.col("file_id").alias("target"), F.explode(own).alias("o")).select("target", "o.e", "o.path")
+    base = known.filter(local).select("file_id", "source", F.posexplode(bases).alias("b", "base"))
+    tries = base.select("file_id", "source", "b", F.expr(normal("base")).alias("path"))
+    found = tries.join(offers.hint("merge"), "path", "left").groupBy("file_id", "source").agg(F.min_by("target", F.col("b") * len(ends) + F.col("e")).alias("target"))
+    named = found.unionByName(known.filter(~local).withColumn("target", F.lit(None).cast("string")))
     outcome = F.when(F.col("target").isNotNull(), F.lit("file")).when(F.col("source").rlike(_QUIET.replace("\\\\", "\\")), F.lit("quiet")).when(local, F.lit("unresolved")).otherwise(F.lit("external"))
-    named = known.join(found, ["file_id", "source"], "left").select("file_id", "source", "target", outcome.alias("outcome"))
-    return imports.join(named, ["file_id", "source"], "left")
+    return imports.join(named.withColumn("outcome", outcome).hint("merge"), ["file_id", "source"], "left")
 
 
 def unresolved_imports(resolved: DataFrame) -> DataFrame:
