@@ -379,3 +379,15 @@ def test_import_resolution_broadcasts_nothing(spark):
     out = project.resolve(spark.createDataFrame([("src/z.ts", s) for s, _ in imports], "file_id string, source string"), files)
     assert "Broadcast" not in _plan(out)
     assert {r.source: r.target for r in out.collect()} == dict(imports)
+
+
+def test_export_rounds_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], exports.materialize
+
+    def materialize(df):
+        plans.append(_plan(df))
+        return write(df)
+
+    monkeypatch.setattr(exports, "materialize", materialize)
+    assert catalog.export_chains(spark, "/root/testdata/sf0.001").count() > 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

@@ -22,17 +22,18 @@ def resolve_exports(exports: DataFrame, reexports: DataFrame, links: DataFrame)
 
     Chains of named re-exports are shortened by doubling, so that a chain of n modules takes log n joins. Then states spread
     along the rest in rounds of the newly reached only. The reached set only grows, hence the loop ends, cycles included, and
-    its result does not depend on the order of arrival.
+    its result does not depend on the order of arrival. No table is broadcast: files of repeated values are small where their
+    rows are many.
     """
-    at = reexports.join(links, ["module", "source"]).select("module", "imported", "exported", "target").distinct()
+    at = reexports.join(links.hint("merge"), ["module", "source"]).select("module", "imported", "exported", "target").distinct()
     own = materialize(_known(exports).distinct())
     # (module, name) -> (target, imported), over ever longer chains.
     hops = materialize(at.filter("exported <> '*'").select("module", F.col("exported").alias("name"), F.col("target").alias("to"), F.col("imported").alias("as_")).filter("as_ <> '*'").distinct())
     # No chain is longer than the number of hops; those that go round in a cycle lead to no export in any number of steps.
     for _ in range(hops.count().bit_length()):
         far = hops.select(F.col("module").alias("to"), F.col("name").alias("as_"), F.col("to").alias("to2"), F.col("as_").alias("as2"))
-        longer = materialize(hops.join(far, ["to", "as_"], "left").select("module", "name", F.coalesce("to2", "to").alias("to"), F.coalesce("as2", "as_").alias("as_")).distinct())
-        moved = not longer.join(hops, ["module", "name", "to", "as_"], "left_anti").isEmpty()
+        longer = materialize(hops.join(far.hint("merge"), ["to", "as_"], "left").select("module", "name", F.coalesce("to2", "to").alias("to"), F.coalesce("as2", "as_").alias("as_")).distinct())
+        moved = not longer.join(hops.hint("merge"), ["module", "name", "to", "as_"], "left_anti").isEmpty()
         release(hops)
         hops = longer
         if not moved:
@@ -45,11 +46,11 @@ def resolve_exports(exports: DataFrame, reexports: DataFrame, links: DataFrame)
     reached = [front]
     while not front.isEmpty():
         f = front.select(F.col("module").alias("to"), F.col("name").alias("as_"), "payload")
-        by_name = named.join(f, ["to", "as_"]).select("module", "name", "payload")
-        by_star = stars.join(f.filter("as_ <> 'default'").withColumnRenamed("as_", "name"), "to").select("module", "name", "payload").join(mine, ["module", "name"], "left_anti")
+        by_name = named.join(f.hint("merge"), ["to", "as_"]).select("module", "name", "payload")
+        by_star = stars.join(f.filter("as_ <> 'default'").withColumnRenamed("as_", "name").hint("merge"), "to").select("module", "name", "payload").join(mine.hint("merge"), ["module", "name"], "left_anti")
         new = by_name.unionByName(by_star).distinct()
         for known in reached:
-            new = new.join(known, ["module", "name", "payload"], "left_anti")
+            new = new.join(known.hint("merge"), ["module", "name", "payload"], "left_anti")
         front = materialize(new)
         reached.append(front)
         if len(reached) > 8:
