@@ -391,3 +391,11 @@ def test_export_rounds_broadcast_nothing(spark, monkeypatch):
     monkeypatch.setattr(exports, "materialize", materialize)
     assert catalog.export_chains(spark, "/root/testdata/sf0.001").count() > 0
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_a_component_name_is_made_once(spark):
+    """Its words were an expression named three times, once for each of the words."""
+    assert str(project.component_name()).count("upper(") == 1
+    files = spark.createDataFrame([("components/base/baseItem/item-row.client.vue",), ("components/a/index.vue",), ("pages/x.vue",)], "file_id string")
+    assert [r.c for r in files.select(project.component_name().alias("c")).collect()] == ["BaseItemItemRow", "A", None]
+    assert "Broadcast" not in _plan(catalog.unused_components(spark, "/root/testdata/sf0.001"))

@@ -57,14 +57,19 @@ def comparable(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
 
 
+def _inside(path: str) -> str:
+    """SQL for the path below the `components` folder, empty elsewhere."""
+    return f"regexp_extract({path}, '(?:^|/)components/(.+)$', 1)"
+
+
 def component_name(path: str = "file_id") -> Column:
     """The name under which a file below a `components` folder is known: its folders and its own name in one, with a folder
     that the next part begins with left out."""
-    inside = f"regexp_extract({path}, '(?:^|/)components/(.+)$', 1)"
-    bare = f"regexp_replace(regexp_replace({inside}, '[.](vue|tsx|jsx|ts|js)$', ''), '[.](client|server|global|island)$', '')"
+    bare = f"regexp_replace(regexp_replace({_inside(path)}, '[.](vue|tsx|jsx|ts|js)$', ''), '[.](client|server|global|island)$', '')"
     words = f"transform(filter(split(regexp_replace({bare}, '/index$', ''), '/'), x -> x <> ''), x -> array_join(transform(split(regexp_replace(x, '([a-z0-9])([A-Z])', '$1-$2'), '[-_. ]+'), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), ''))"
-    kept = f"filter(transform({words}, (x, i) -> CASE WHEN i + 1 < size({words}) AND startswith({words}[i + 1], x) THEN '' ELSE x END), x -> x <> '')"
-    return F.expr(f"CASE WHEN {inside} <> '' THEN array_join({kept}, '') END")
+    # The words are a variable: named several times as an expression, they would be made anew for each of themselves.
+    name = "array_join(filter(transform(ws, (x, i) -> CASE WHEN i + 1 < size(ws) AND startswith(ws[i + 1], x) THEN '' ELSE x END), x -> x <> ''), '')"
+    return F.expr(f"CASE WHEN {_inside(path)} <> '' THEN transform(array({words}), ws -> {name})[0] END")
 
 
 def node_kind(path: str = "file_id") -> Column:
@@ -82,11 +87,11 @@ def component_edges(elements: DataFrame, resolved: DataFrame, files: DataFrame)
     its file names is never looked up by convention. elements: file_id, tag; names with several files mean none."""
     tags = elements.filter(F.col("tag").rlike("[A-Z-]")).select("file_id", comparable(F.regexp_replace("tag", "^Lazy(?=[A-Z])", "")).alias("name")).distinct()
     imported = resolved.filter("outcome = 'file' AND local <> ''").select("file_id", comparable(F.col("local")).alias("name"), "target")
-    used = tags.join(imported, ["file_id", "name"]).select(F.col("file_id").alias("src"), F.col("target").alias("dst"), F.lit("component_usage").alias("kind"))
-    named = files.select("file_id", component_name().alias("c")).filter("c IS NOT NULL").select(comparable(F.col("c")).alias("name"), "file_id")
+    used = tags.join(imported.hint("merge"), ["file_id", "name"]).select(F.col("file_id").alias("src"), F.col("target").alias("dst"), F.lit("component_usage").alias("kind"))
+    named = files.filter(F.expr(_inside("file_id")) != "").select(comparable(component_name()).alias("name"), "file_id")
     one = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("dst")).filter("n = 1").drop("n")
     shadowed = resolved.filter("local <> ''").select("file_id", comparable(F.col("local")).alias("name"))
-    auto = tags.join(shadowed, ["file_id", "name"], "left_anti").join(one, "name").select(F.col("file_id").alias("src"), "dst", F.lit("auto_component").alias("kind"))
+    auto = tags.join(shadowed.hint("merge"), ["file_id", "name"], "left_anti").join(one.hint("merge"), "name").select(F.col("file_id").alias("src"), "dst", F.lit("auto_component").alias("kind"))
     return used.unionByName(auto).distinct()
 
 
@@ -97,7 +102,7 @@ def import_edges(resolved: DataFrame) -> DataFrame:
 def unused_components(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Components that no import, usage or auto usage leads to; stories, tests and mocks are no components."""
     own = files.filter((node_kind() == "component") & F.col("file_id").endswith(".vue") & ~F.lower("file_id").rlike(r"(^|/)(__tests__|__mocks__|tests?|mocks?|stories)/|\.(test|spec|stories|story)\."))
-    rest = own.select("file_id").join(edges.filter("src <> dst").select(F.col("dst").alias("file_id")), "file_id", "left_anti")
+    rest = own.select("file_id").join(edges.filter("src <> dst").select(F.col("dst").alias("file_id")).hint("merge"), "file_id", "left_anti")
     return rest.select("file_id", F.lit("project/unused-component").alias("rule_id"), F.lit("warning").alias("severity"), F.lit(0).cast("long").alias("offset"), F.lit(1).alias("line"))
 
 
