@@ -399,3 +399,17 @@ def test_a_component_name_is_made_once(spark):
     files = spark.createDataFrame([("components/base/baseItem/item-row.client.vue",), ("components/a/index.vue",), ("pages/x.vue",)], "file_id string")
     assert [r.c for r in files.select(project.component_name().alias("c")).collect()] == ["BaseItemItemRow", "A", None]
     assert "Broadcast" not in _plan(catalog.unused_components(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("name, texts", [("lint_scripts", 2 * len(SCRIPTS))])
+def test_a_script_is_parsed_once_for_all_its_files(spark, monkeypatch, name, texts):
+    """2,000 derived files."""
+    parsed, whole = [], components.facts
+
+    def facts(files, *args, **kw):
+        parsed.append(files.count())
+        return whole(files, *args, **kw)
+
+    monkeypatch.setattr(components, "facts", facts)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert parsed and max(parsed) <= texts

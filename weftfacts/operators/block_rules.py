@@ -181,7 +181,7 @@ def lint_blocks(facts: DataFrame, env: DataFrame | None = None, practice: bool =
     """(file_id, block_ix, rule_id, severity, offset, line). env: file_id, vue_version struct<major,minor,patch>; rules that
     ask for a version are quiet where it isn't known."""
     version = "cast(null AS struct<major:bigint,minor:bigint,patch:bigint>) AS vue_version"
-    rows = facts.join(env.select("file_id", "vue_version"), "file_id", "left") if env is not None else facts.selectExpr("*", version)
+    rows = facts.join(env.select("file_id", "vue_version").hint("merge"), "file_id", "left") if env is not None else facts.selectExpr("*", version)
     rows = rows.selectExpr(
         "file_id", "vue_version", "coalesce(cast(file_id AS string) RLIKE '(?i)(^|/)(__tests__|__mocks__|tests?)/|[.](test|spec|stories)[.]', false) AS is_test",
         "array_distinct(flatten(transform(expressions, x -> x.identifiers))) AS template_names",
