@@ -377,7 +377,7 @@ def test_import_resolution_broadcasts_nothing(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/a/index.js",), ("src/b.d.ts",), ("index.vue",), ("lib/c.x",)], "file_id string")
     imports = [("./a", "src/a.ts"), ("./b", "src/b.d.ts"), ("./b.d", "src/b.d.ts"), ("@/a/index", "src/a/index.js"), ("../lib/c.x", "lib/c.x"), ("../index", "index.vue"), ("./none", None), ("pkg", None)]
     out = project.resolve(spark.createDataFrame([("src/z.ts", s) for s, _ in imports], "file_id string, source string"), files)
-    assert "Broadcast" not in _plan(out)
+    assert "Broadcast" not in _plan(out) and "Broadcast" not in _plan(catalog.resolved_imports(spark, "/root/testdata/sf0.001"))
     assert {r.source: r.target for r in out.collect()} == dict(imports)
 
 
